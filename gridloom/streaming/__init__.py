@@ -1,0 +1 @@
+"""Left empty on purpose: the system this package re-expresses has no data streams, windows or state."""
