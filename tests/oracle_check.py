@@ -82,8 +82,11 @@ def main():
     pick = sys.argv[2:]
     spark, con = spark_session(), duck(sf_dir)
     oracles, bad, slow = entry.oracle_sql(), 0, []
+    from workloads.registry import QUERIES
+
     for name, fn in entry.queries().items():
-        if pick and not any(name == p or (p.endswith("*") and name.startswith(p[:-1])) for p in pick):
+        module = QUERIES[name].__module__.rsplit(".", 1)[-1]
+        if pick and not any(p in (name, module) or (p.endswith("*") and name.startswith(p[:-1])) for p in pick):
             continue
         t = time.time()
         try:
