@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.bricks import Brick, Dim
 from gridloom.operators.filters import EntityType, Ontology, Prop
 from gridloom.operators.reach import lineage_edges, term_closure
 from gridloom.plans.query import Workspace
@@ -392,6 +393,7 @@ class Tables:
             F.col("s_name").alias("supplier_name"),
             F.col("n_name").alias("nation"),
             F.col("s_acctbal").alias("balance"),
+            F.col("s_nationkey").alias("nation_key"),
         )
         d2 = self.lineitem.select(flag_index("l_returnflag").alias("i2"), F.col("l_returnflag").alias("flag")).distinct()
         d3 = self.lineitem.select(
@@ -402,6 +404,17 @@ class Tables:
         return [d1, d2, d3]
 
 
+    @property
+    def sales(self) -> Brick:
+        d1, d2, d3 = self.sales_dims
+        dims = (
+            Dim("Supplier", d1.withColumnRenamed("i1", "idx"), ("supplier_name", "nation", "balance", "nation_key")),
+            Dim("Flag", d2.withColumnRenamed("i2", "idx"), ("flag",)),
+            Dim("Month", d3.withColumnRenamed("i3", "idx"), ("month", "year")),
+        )
+        return Brick("sales", "Sales", dims, self.sales_cells, ("quantity", "price", "n"), ops=(("load", ("brick:sales",)),))
+
+
 def flag_index(col):
     return F.when(F.col(col) == "A", 0).when(F.col(col) == "N", 1).otherwise(2)
 

@@ -120,8 +120,8 @@ sales_cell(i1, i2, i3, quantity, price, n) AS (
          sum(l_quantity), round(sum(l_extendedprice), 2), count(*)
   FROM lineitem GROUP BY 1, 2, 3
 ),
-sales_d1(i1, supplier, supplier_name, nation, balance) AS (
-  SELECT s_suppkey, format('Supplier{:07d}', s_suppkey), s_name, n_name, s_acctbal
+sales_d1(i1, supplier, supplier_name, nation, balance, nation_key) AS (
+  SELECT s_suppkey, format('Supplier{:07d}', s_suppkey), s_name, n_name, s_acctbal, s_nationkey
   FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey
 ),
 sales_d2(i2, flag) AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_returnflag FROM lineitem),
