@@ -10,8 +10,8 @@ NULL_TEXTS = ["null", "NaN", ""]
 GRID_NULL_TEXTS = ["null", "NaN", "", "-", "n/a", "N/A"]
 
 # The only texts accepted for a boolean.
-TRUE_TEXTS = ["yes", "y", "true", "1"]
-FALSE_TEXTS = ["no", "n", "false", "0"]
+TRUE_TEXTS = ["yes", "Yes", "y", "Y", "true", "True", "TRUE", "1"]
+FALSE_TEXTS = ["no", "No", "n", "N", "false", "False", "FALSE", "0"]
 
 
 def _c(col) -> Column:
@@ -144,8 +144,7 @@ def concat_dim_values(*cols) -> Column:
 
 def normalize_boolean(col) -> Column:
     """Accepted texts become 1 or 0; everything else is null and counts as an error."""
-    low = F.lower(F.trim(_c(col)))
-    return F.when(low.isin(TRUE_TEXTS), F.lit(1)).when(low.isin(FALSE_TEXTS), F.lit(0))
+    return F.when(_c(col).isin(TRUE_TEXTS), F.lit(1)).when(_c(col).isin(FALSE_TEXTS), F.lit(0))
 
 
 def cast_scalar(col, scalar_type: str) -> Column:
