@@ -90,21 +90,27 @@ def split_object_list(col) -> Column:
 
 def ref_type(ref) -> Column:
     """Type part of ``Type:id``, split at the first colon only; ``Generic`` is read as ``Brick``."""
-    kind = F.trim(F.split(_c(ref), ":", 2)[0])
+    kind = F.trim(F.substring_index(_c(ref), ":", 1))
     return F.when(kind == "Generic", F.lit("Brick")).otherwise(kind)
 
 
 def ref_key(ref) -> Column:
-    return F.trim(F.split(_c(ref), ":", 2)[1])
+    """What follows the first colon; null when there is none."""
+    at = F.instr(_c(ref), ":")
+    return F.when(at > 0, F.trim(F.substr(_c(ref), at + 1)))
 
 
-def ref_table(ref) -> Column:
-    """Table a reference lives in: every ``Brick`` or ``Brick-nnn`` goes to the array table."""
-    kind = ref_type(ref)
-    is_brick = (kind == "Brick") | kind.startswith("Brick-")
+def table_of(kind) -> Column:
+    """Table of a type: every ``Brick`` or ``Brick-nnn`` goes to the array table."""
+    is_brick = (_c(kind) == "Brick") | _c(kind).startswith("Brick-")
     return F.when(is_brick, F.lit("ddt_ndarray")).otherwise(F.concat(F.lit("sdt_"), normalize_name(kind)))
 
 
+def ref_table(ref) -> Column:
+    """Table a reference lives in."""
+    return table_of(ref_type(ref))
+
+
 def full_type(type_name, dim_names) -> Column:
     """``Type<dim1, dim2>``."""
     return F.concat(_c(type_name), F.lit("<"), F.array_join(_c(dim_names), ", "), F.lit(">"))

@@ -140,7 +140,7 @@ class Brick:
         """Mean over one dimension of every data variable; null and NaN are skipped."""
         rest = [n for n in range(len(self.dims)) if n != dim]
         keys = [F.col(self.idx_cols[n]).alias(f"i{k + 1}") for k, n in enumerate(rest)]
-        aggs = [F.avg(nan_to_null(F.col(v).cast("double"))).alias(v) for v in self.data_vars]
+        aggs = [F.avg(nan_to_null(F.col(v).try_cast("double"))).alias(v) for v in self.data_vars]
         return replace(
             self,
             dims=tuple(self.dims[n] for n in rest),

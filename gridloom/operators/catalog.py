@@ -24,7 +24,7 @@ def save_brick(
     """
 
     def next_id(df: DataFrame, prefix: str) -> DataFrame:
-        last = F.max(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint"))
+        last = F.max(F.regexp_extract("id", r"(\d+)$", 1).try_cast("bigint"))
         return df.agg(F.format_string(prefix + "%07d", F.coalesce(last, F.lit(0)) + 1).alias("id"))
 
     today = F.date_format(F.current_date(), "yyyy-MM-dd")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.reach import lineage_edges, reach, reverse
+from gridloom.operators.reach import reach, reverse
 
 
 def producer_lookup(process_input: DataFrame, process_output: DataFrame, process: DataFrame) -> DataFrame:
@@ -15,13 +15,12 @@ def producer_lookup(process_input: DataFrame, process_output: DataFrame, process
     return made.join(inputs, "id", "left")
 
 
-def provenance_tree(start: DataFrame, process_input: DataFrame, process_output: DataFrame) -> DataFrame:
+def provenance_tree(start: DataFrame, process_input: DataFrame, process_output: DataFrame, edges: DataFrame) -> DataFrame:
     """Everything upstream of ``start(obj)``: depth, obj, process_id, input, is_leaf.
 
     Each (object, process) once, at its least depth in object steps. A leaf is an input
     that no process made.
     """
-    edges = lineage_edges(process_input, process_output)
     found = reach(start.select(F.col("obj").alias("vertex")), reverse(edges), include_start=True)
     objects = found.filter(~F.col("vertex").startswith("Process:")).select(
         F.col("vertex").alias("obj"), F.floor(F.col("hops") / 2).cast("bigint").alias("depth")
@@ -37,7 +36,12 @@ def provenance_tree(start: DataFrame, process_input: DataFrame, process_output:
 
 
 def coassembled(
-    process_input: DataFrame, process_output: DataFrame, assembly_type: str, reads_type: str, more_than: int = 1
+    process_input: DataFrame,
+    process_output: DataFrame,
+    edges: DataFrame,
+    assembly_type: str,
+    reads_type: str,
+    more_than: int = 1,
 ) -> DataFrame:
     """Objects with an upstream (or own) assembly whose process used more than one reads object: vertex, hops.
 
@@ -50,6 +54,5 @@ def coassembled(
         .filter(F.col("n") > more_than)
     )
     start = process_output.filter(F.col("obj_type") == assembly_type).join(many, "process_id", "left_semi")
-    edges = lineage_edges(process_input, process_output)
     found = reach(start.select(F.col("obj").alias("vertex")).distinct(), edges, include_start=True)
     return found.filter(~F.col("vertex").startswith("Process:"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.text import ref_key, ref_table, split_object_list
-from gridloom.operators.reach import lineage_edges, reach, reach_from_each, reverse
+from gridloom.functions.text import ref_key, ref_type, split_object_list, table_of
+from gridloom.operators.reach import reach, reach_from_each, reverse
+from gridloom.session import materialize
 
 
 def io_of_process(rows: DataFrame, vertex: str, io: DataFrame, processes: DataFrame) -> DataFrame:
@@ -61,8 +62,12 @@ def linked_down_to(rows: DataFrame, vertex: str, start: DataFrame, edges: DataFr
 def linked_with_props(rows: DataFrame, vertex: str, start: DataFrame, start_vertex: str, props: list[str], edges: DataFrame) -> DataFrame:
     """Rows downstream of ``start`` with its properties copied on; distinct.
 
-    Walks once per distinct combination of property values, not once per start object.
+    Walks once per distinct combination of property values, not once per start object, and only
+    over edges that lead to ``rows``: these are found first by one plain walk back.
     """
+    targets = rows.select(F.col(vertex).alias("vertex"))
+    useful = reach(targets, reverse(edges), include_start=True).select(F.col("vertex").alias("dst"))
+    edges = materialize(edges.join(useful, "dst", "left_semi").select("src", "dst"), "edges")
     tagged = start.select(start_vertex, F.to_json(F.struct(*props)).alias("root"), *props)
     found = reach_from_each(tagged.select("root", F.col(start_vertex).alias("vertex")), edges)
     values = tagged.select("root", *[F.col(p).alias("_up_" + p) for p in props]).distinct()
@@ -78,6 +83,7 @@ def search_all(
     processes: DataFrame,
     process_input: DataFrame,
     process_output: DataFrame,
+    edges: DataFrame,
     up: bool,
     down: bool,
 ) -> DataFrame:
@@ -85,7 +91,6 @@ def search_all(
 
     The processes themselves count for ``up`` and not for ``down``.
     """
-    edges = lineage_edges(process_input, process_output)
     start = processes.select(F.concat(F.lit("Process:"), "id").alias("vertex"))
     found = None
     if up:
@@ -204,9 +209,14 @@ def normalize_process_io(processes: DataFrame, list_col: str, known: DataFrame)
 
     ``known(table, key)`` lists what exists.
     """
-    refs = processes.select(F.col("id").alias("sys_process_id"), F.explode(split_object_list(list_col)).alias("ref"))
-    parsed = refs.select("sys_process_id", ref_table("ref").alias("table"), ref_key("ref").alias("key"))
-    return parsed.join(known, ["table", "key"], "left_semi")
+    items = F.explode_outer(split_object_list(list_col))  # outer: no filter that would parse each list again
+    refs = processes.select(F.col("id").alias("sys_process_id"), items.alias("ref")).select(
+        "sys_process_id", ref_type("ref").alias("kind"), ref_key("ref").alias("key")
+    )
+    # the types in use are few: names are made once per type, not once per reference
+    kinds = known.select("table").distinct()
+    named = refs.select("kind").distinct().select("kind", table_of("kind").alias("table")).join(kinds, "table", "left_semi")
+    return refs.join(named, "kind").join(known, ["table", "key"], "left_semi").select("sys_process_id", "table", "key")
 
 
 def io_columns(refs: DataFrame, tables: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import filters, links
 from gridloom.operators.filters import Condition, EntityType, Ontology
 from gridloom.operators.reach import lineage_edges
+from gridloom.session import materialize
 
 
 class Workspace:
@@ -18,6 +19,7 @@ class Workspace:
         self.process = process
         self.ontology = ontology
         self._input, self._output = process_input, process_output
+        self._edges: DataFrame | None = None
 
     @property
     def process_input(self) -> DataFrame:
@@ -37,7 +39,10 @@ class Workspace:
 
     @property
     def edges(self) -> DataFrame:
-        return lineage_edges(self.process_input, self.process_output)
+        """Both edge tables as one (src, dst) table, written once: every walk step scans it."""
+        if self._edges is None:
+            self._edges = materialize(lineage_edges(self.process_input, self.process_output), "edges")
+        return self._edges
 
     def query(self, type_name: str) -> "Query":
         return Query(self, self.types[type_name])
@@ -124,7 +129,7 @@ class Query:
             procs = filters.apply_conditions(ws.process.df, self._output_of, ws.process, ws.ontology)
             if self._all_up or self._all_down:
                 rows = links.search_all(
-                    rows, etype.vertex, procs, ws.process_input, ws.process_output, self._all_up, self._all_down
+                    rows, etype.vertex, procs, ws.process_input, ws.process_output, ws.edges, self._all_up, self._all_down
                 )
             else:
                 rows = links.io_of_process(rows, etype.vertex, ws.process_output, procs)

@@ -84,7 +84,7 @@ def _averaged(brick: Brick, constant: dict, axes: list[DimId], value: str) -> Da
     out = _fixed_cells(brick, constant)
     for d in axes:
         out = out.join(_axis(brick, d).withColumnRenamed("idx", brick.idx_cols[d.dim]), brick.idx_cols[d.dim])
-    v = nan_to_null(F.col(value).cast("double"))
+    v = nan_to_null(F.col(value).try_cast("double"))
     keys = [c for d in axes for c in (d.key, d.key + "_pos")]
     return out.groupBy(*keys).agg(F.avg(v).alias("value"), F.stddev_samp(v).alias("sd"))
 
@@ -137,7 +137,7 @@ def scatter_same_dim(brick: Brick, x: str, y: str, point_label: str | None = Non
         *([F.col(ids[-1].var).alias("z")] if z and "/" in z else []),
     )
     if z and "/" not in z:
-        v = nan_to_null(F.col(z).cast("double"))
+        v = nan_to_null(F.col(z).try_cast("double"))
         means = _fixed_cells(brick, constant or {}).groupBy(col).agg(F.avg(v).alias("z"), F.stddev_samp(v).alias("sd"))
         points = points.join(means, col, "left")
     return points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumnRenamed(col, "idx")

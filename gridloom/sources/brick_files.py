@@ -185,11 +185,11 @@ def scan_brick_csv(spark: SparkSession, path) -> DataFrame:
 def sectioned_headers(lines: DataFrame) -> DataFrame:
     """One row per array: name, description, type, sizes, number of values lines. Header lines are few by nature."""
     head = lines.filter("is_head")
-    field = lambda token: F.max(F.when(F.col("token") == token, F.col("fields")[1]))
+    field = lambda token: F.max(F.when(F.col("token") == token, F.get("fields", F.lit(1))))
     return head.groupBy("brick_key").agg(
         field("name").alias("name"), field("description").alias("description"),
         term_id_of(field("type")).alias("type_term_id"), term_name_of(field("type")).alias("type_term_name"),
-        F.max(F.when(F.col("token") == "size", F.slice(F.col("fields"), 2, 1000).cast("array<int>"))).alias("shape"),
+        F.max(F.when(F.col("token") == "size", F.transform(F.slice("fields", F.lit(2), F.size("fields")), lambda x: x.try_cast("int")))).alias("shape"),
         F.count_if(F.col("token") == "values").alias("n_values_lines"),
     )
 
@@ -197,11 +197,11 @@ def sectioned_headers(lines: DataFrame) -> DataFrame:
 def sectioned_dims(lines: DataFrame) -> DataFrame:
     """Dimension variable values: brick_key, dim, dim_type, var_type, idx (0-based), value."""
     head = lines.filter("is_head AND token = 'dmeta'").select(
-        "brick_key", "section", F.col("fields")[1].cast("int").alias("dim"),
-        term_name_of(F.col("fields")[2]).alias("dim_type"), term_name_of(F.col("fields")[3]).alias("var_type"),
+        "brick_key", "section", F.get("fields", F.lit(1)).try_cast("int").alias("dim"),
+        term_name_of(F.get("fields", F.lit(2))).alias("dim_type"), term_name_of(F.get("fields", F.lit(3))).alias("var_type"),
     )
     body = lines.filter("NOT is_head AND token = 'dmeta'").select(
-        "brick_key", "section", (F.col("fields")[0].cast("int") - 1).alias("idx"), F.col("fields")[1].alias("value")
+        "brick_key", "section", (F.get("fields", F.lit(0)).try_cast("int") - 1).alias("idx"), F.get("fields", F.lit(1)).alias("value")
     )
     return body.join(head, ["brick_key", "section"]).drop("section")
 

@@ -460,7 +460,7 @@ def reach_query(t):
 )
 def provenance_tree(t):
     start = t.part.filter("p_size = 13").select(F.format_string("Part:Part%07d", "p_partkey").alias("obj"))
-    return lineage.provenance_tree(start, t.process_input, t.process_output)
+    return lineage.provenance_tree(start, t.process_input, t.process_output, t.edges)
 
 
 @query(
@@ -486,4 +486,12 @@ def build_producer_lookup(t):
 )
 def coassembly(t):
     """Parts from orders with more than nine suppliers; nothing is made from parts here."""
-    return lineage.coassembled(t.process_input, t.process_output, "Part", "Supplier", more_than=9).select("vertex")
+    return lineage.coassembled(t.process_input, t.process_output, t.edges, "Part", "Supplier", more_than=9).select("vertex")
+
+
+@query("add_data_var", SALES_SQL + "SELECT i1, i2, i3, quantity, price, CASE WHEN quantity > 100 THEN 'high' ELSE 'low' END AS level FROM sales_cell")
+def add_data_var(t):
+    """A data variable of text beside the numeric ones."""
+    level = F.when(F.col("quantity") > 100, "high").otherwise("low")
+    b = t.sales.add_data_var("level", level)
+    return b.cells.select("i1", "i2", "i3", "quantity", "price", "level")

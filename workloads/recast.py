@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.bricks import Brick, Dim
 from gridloom.operators.filters import EntityType, Ontology, Prop
-from gridloom.operators.reach import lineage_edges, term_closure
+from gridloom.operators.reach import term_closure
 from gridloom.plans.query import Workspace
 from gridloom.session import materialize
 
@@ -271,7 +271,7 @@ class Tables:
 
     @property
     def edges(self) -> DataFrame:
-        return lineage_edges(self.process_input, self.process_output)
+        return self.workspace.edges
 
     @property
     def ontology(self) -> Ontology:
