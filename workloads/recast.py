@@ -42,7 +42,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        schemas = self.__dict__.setdefault("_schemas", {})
+        if name not in schemas:  # the footer is read once per table
+            schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(schemas[name]).parquet(path)
 
     # ---- terms ----
 
