@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import nan_to_null
+from gridloom.operators import links
 from gridloom.operators.filters import compare as compare_value
 from gridloom.operators.numbering import number_rows
 
@@ -165,6 +166,27 @@ class Brick:
         dims = tuple(new if n == dim else x for n, x in enumerate(self.dims))
         return replace(self, dims=dims, ops=self.log("add_var", f"dim_index:{dim}", name))
 
+    def map_to_core_type(self, dim: int, var: str, entity: DataFrame, prop: str, pk: str, name: str) -> "Brick":
+        """Add the id of the entity whose property equals a dimension variable."""
+        return self.add_dim_var(dim, links.map_to_core_type(self.dims[dim].df, var, entity, prop, pk, name), name)
+
+    def add_core_type_var(self, dim: int, pk_var: str, entity: DataFrame, pk: str, prop: str) -> "Brick":
+        """Add a property of the entity an id variable names."""
+        return self.add_dim_var(dim, links.add_core_type_var(self.dims[dim].df, pk_var, entity, pk, [prop]), prop)
+
+    def add_brick_var(self, dim: int, match: str, other: "Brick", match_other: str, value: str) -> "Brick":
+        """Add values of a 1-d array by an equal variable."""
+        flat = other.wide().select(match_other, value)
+        return self.add_dim_var(dim, links.add_brick_var(self.dims[dim].df, match, flat, match_other, value, value), value)
+
+    def add_up_props(self, dim: int, pk_var: str, linked: DataFrame, pk: str, props: list[str]) -> "Brick":
+        """Add properties of provenance ancestors; ``linked`` holds them per entity id."""
+        out = self
+        values = links.first_per_key(linked.select(F.col(pk).alias(pk_var), *props), pk_var, props)
+        for p in props:
+            out = out.add_dim_var(dim, out.dims[dim].df.join(values.select(pk_var, p), pk_var, "left"), p)
+        return out
+
     # ---- views ----
 
     def wide(self, *dims: int) -> DataFrame:

@@ -157,6 +157,11 @@ def lookup_last(df: DataFrame, key: str, pk: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct("*"), pk).alias("r")).select("r.*")
 
 
+def first_per_key(df: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """One row per key: of several combinations of values the least."""
+    return df.groupBy(key).agg(F.min(F.struct(*values)).alias("v")).select(key, "v.*")
+
+
 def upk_to_pk(wanted: DataFrame, entity: DataFrame, upk: str, pk: str) -> DataFrame:
     """``wanted(user_key)`` to ids. Status is ok, unknown or ambiguous; the id is null unless ok."""
     found = entity.groupBy(F.col(upk).alias("user_key")).agg(F.count("*").alias("n"), F.min(pk).alias("pk"))

@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.bricks import Brick, Dim
+
 N_COMPONENTS = 3  # fixed value: default number of components
 
 
@@ -49,3 +51,32 @@ class PcaModel:
         spark = self._centred.sparkSession
         rows = [(i, j + 1, float(self._pc[i, j])) for i in range(self._pc.shape[0]) for j in range(self._k)]
         return spark.createDataFrame(rows, "feature int, component int, loading double")
+
+
+class Pca:
+    """``fit`` turns a 2-d array into one of scores; ``components_`` is then the array of loadings."""
+
+    def __init__(self, n_components: int = N_COMPONENTS, whiten: bool = True):
+        self.n_components, self.whiten = n_components, whiten
+        self.components_: Brick | None = None
+
+    def fit(self, brick: Brick, name: str = "PCA") -> Brick:
+        if len(brick.dims) != 2:
+            raise ValueError("the array must have 2 dimensions")
+        value = brick.data_vars[0]
+        model = PcaModel(rows_to_arrays(brick.cells, "i1", "i2", value), "i1", self.n_components, self.whiten)
+        spark = brick.cells.sparkSession
+        names = spark.range(self.n_components).select(
+            F.col("id").alias("idx"), F.concat(F.lit("PCA"), (F.col("id") + 1).cast("string")).alias("component")
+        )
+        components = Dim("Component", names, ("component",))
+        self.components_ = Brick(
+            "PCA components", "PCA", (brick.dims[1], components),
+            model.components().select(F.col("feature").alias("i1"), (F.col("component") - 1).alias("i2"), F.col("loading").alias(value)),
+            (value,), ops=brick.log("pca", f"n_components:{self.n_components}", "dim_index:1"),
+        )
+        scores = model.scores().select("i1", (F.col("component") - 1).alias("i2"), F.col("score").alias(value))
+        return Brick(
+            name, "PCA", (brick.dims[0], components), scores, (value,),
+            ops=brick.log("pca", f"n_components:{self.n_components}", "dim_index:0"),
+        )

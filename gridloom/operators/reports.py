@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import materialize
+
 
 def term_stat(df: DataFrame, term_col: str, terms: DataFrame, exploded: bool = False) -> DataFrame:
     """Rows per term of a property, largest first: term_id, term_name, n."""
@@ -142,6 +144,7 @@ def brick_index_rows(brick_terms: DataFrame, closure: DataFrame) -> DataFrame:
     variables with the values given for it. Rows stay long, so a large array is no large row.
     """
     none = F.lit(None).cast("string")
+    brick_terms = materialize(brick_terms.select("brick_id", "term_id", "value").distinct(), "brick_terms")  # read three times
     own = brick_terms.select("brick_id", F.lit("term").alias("kind"), "term_id", none.alias("value"))
     values = brick_terms.filter("value is not null").select("brick_id", F.lit("value").alias("kind"), "term_id", "value")
     pairs = brick_terms.select("brick_id", "term_id").distinct()

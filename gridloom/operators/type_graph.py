@@ -88,6 +88,7 @@ def type_graph_merge(groups: DataFrame) -> DataFrame:
     Only edges with a static output type take part. Free of order: whole connected components
     are merged, and the merged edge is named by the union of its types.
     """
+    groups = materialize(groups, "groups")  # read for the shapes and again for the result
     shapes = groups.select("edge", "name", "from_types", "to_types").distinct()
     able = shapes.filter(F.exists("to_types", lambda x: ~is_array(x)))
     pairs = able.select("edge", "name", "to_types", F.explode("from_types").alias("f"))

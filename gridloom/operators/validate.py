@@ -126,16 +126,16 @@ def validate_columns(have: DataFrame, declared: DataFrame) -> DataFrame:
 def cast_terms(cells: DataFrame, value: str, terms: DataFrame, closure: DataFrame, parent: str) -> DataFrame:
     """Cells with the term their text names: by id, or by name ignoring case; it must be below ``parent``.
 
-    Terms are looked up once per distinct text. Of several terms of one name the least id is
-    taken. Adds term_id and error.
+    Ids and names share one lookup table, so the cells are joined once. Of several terms of one
+    name the least id is taken. Adds term_id and error.
     """
-    texts = cells.select(F.col(value).alias("_v")).filter("_v is not null").distinct()
-    by_id = texts.filter(F.col("_v").contains(":")).join(terms.select(F.col("term_id").alias("_v"), "term_id"), "_v")
-    names = terms.groupBy(F.lower("term_name").alias("_low")).agg(F.min("term_id").alias("term_id"))
-    by_name = texts.filter(~F.col("_v").contains(":")).withColumn("_low", F.lower("_v")).join(names, "_low").select("_v", "term_id")
+    ids = terms.select(F.concat(F.lit("id "), "term_id").alias("_key"), "term_id")
+    names = terms.groupBy(F.concat(F.lit("name "), F.lower("term_name")).alias("_key")).agg(F.min("term_id").alias("term_id"))
     below = closure.filter(F.col("ancestor_id") == parent).select("term_id", F.lit(True).alias("_ok")).distinct()
-    found = by_id.select("_v", "term_id").unionByName(by_name).join(below, "term_id", "left")
-    out = cells.join(found, F.col(value) == F.col("_v"), "left")
+    found = ids.unionByName(names).join(below, "term_id", "left")
+    text = F.col(value)
+    key = F.when(text.contains(":"), F.concat(F.lit("id "), text)).otherwise(F.concat(F.lit("name "), F.lower(text)))
+    out = cells.withColumn("_key", key).join(found, "_key", "left")
     error = F.when(F.col(value).isNull() | F.col("_ok"), F.lit(None)).when(
         F.col("term_id").isNull(), F.concat(F.lit("Can not find term: "), value)
     ).otherwise(F.lit("Term without valid parent " + parent))
@@ -143,10 +143,9 @@ def cast_terms(cells: DataFrame, value: str, terms: DataFrame, closure: DataFram
 
 
 def cast_object_refs(cells: DataFrame, value: str, entity: DataFrame, key: str, prop: str) -> DataFrame:
-    """Cells with an error where the text is no key of the entity; looked up once per distinct text."""
+    """Cells with an error where the text is no key of the entity."""
     known = entity.select(F.col(key).cast("string").alias("_v")).distinct().withColumn("_ok", F.lit(True))
-    texts = cells.select(F.col(value).alias("_v")).distinct().join(known, "_v")
-    out = cells.join(texts, F.col(value) == F.col("_v"), "left")
+    out = cells.join(known, F.col(value) == F.col("_v"), "left")
     error = F.when(F.col(value).isNotNull() & F.col("_ok").isNull(), "Mapping to core type " + prop)
     return out.select(*cells.columns, error.alias("error"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import bricks as bk
 from gridloom.operators import numbering
 from gridloom.operators.bricks import Brick, Dim
-from gridloom.operators.pca import PcaModel, rows_to_arrays
+from gridloom.operators.pca import Pca, PcaModel, rows_to_arrays
 from gridloom.plans import slices
 
 
@@ -139,3 +139,27 @@ def test_pca_matches_a_dense_decomposition(spark):
     for r in model.scores().collect():
         got[r["i1"], r["component"] - 1] = r["score"]
     assert got == pytest.approx(scores, abs=1e-8)
+
+
+def test_pca_gives_arrays(spark):
+    cells = bk.create_cells(spark, [20, 4]).withColumn("v", F.sin(F.col("i1") * 1.7 + F.col("i2") * F.col("i1")))
+    dims = tuple(Dim(n, spark.range(s).select(F.col("id").alias("idx"), F.col("id").alias("x")), ("x",)) for n, s in (("A", 20), ("B", 4)))
+    pca = Pca()
+    scores = pca.fit(Brick("b", "B", dims, cells, ("v",)))
+    assert scores.cells.count() == 60 and pca.components_.cells.count() == 12
+    assert {r["component"] for r in scores.dims[1].df.collect()} == {"PCA1", "PCA2", "PCA3"}
+    with pytest.raises(ValueError, match="2 dimensions"):
+        pca.fit(Brick("b", "B", dims[:1], cells, ("v",)))
+
+
+def test_dimension_variables_from_entities(cube, spark):
+    b, _ = cube
+    sites = spark.createDataFrame([("S1", "north", 9.0), ("S2", "north", 8.0), ("S3", "east", 7.0)], "id string, name string, lat double")
+    b = b.map_to_core_type(0, "place", sites, "name", "id", "site").add_core_type_var(0, "site", sites, "id", "lat")
+    rows = {r["place"]: (r["site"], r["lat"]) for r in b.dims[0].df.collect()}
+    assert rows == {"north": ("S2", 8.0), "south": (None, None)}
+    linked = spark.createDataFrame([("S2", "x", 2), ("S2", "a", 1)], "id string, region string, n int")
+    b = b.add_up_props(0, "site", linked, "id", ["region", "n"])
+    assert {(r["place"], r["region"], r["n"]) for r in b.dims[0].df.collect()} == {("north", "a", 1), ("south", None, None)}
+    assert b.dims[0].variables == ("place", "depth", "site", "lat", "region", "n")
+    assert [name for name, _ in b.ops] == ["add_var"] * 4

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from gridloom.operators import filters as fl
 from gridloom.operators.filters import EntityType, Ontology, Prop
 from gridloom.operators.ontology import build_terms, search_microtypes
+from gridloom.plans.objects import ObjectSet
 from gridloom.plans.query import Workspace
+from gridloom.plans.terms import TermFinder
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +99,25 @@ def test_first_source_wins_on_repeated_ids(spark):
     a = spark.createDataFrame([("1", "one")], "term_id string, term_name string")
     b = spark.createDataFrame([("1", "uno"), ("2", "dos")], "term_id string, term_name string")
     assert {tuple(r) for r in build_terms([a, b]).collect()} == {("1", "one"), ("2", "dos")}
+
+
+def test_found_objects_know_their_processes(ws):
+    s1 = ObjectSet.find(ws, "Sample", {"depth": 1})
+    assert [r["id"] for r in s1.down_processes().collect()] == ["P1"]
+    assert s1.up_processes().count() == 0
+    s2 = ObjectSet.find(ws, "Sample", {"depth": 2})
+    assert [(r["depth"], r["input"], r["is_leaf"]) for r in s2.provenance().collect()] == [(0, "S:S1", True)]
+    assert s2.to_df().columns == ["id", "name", "depth", "kind_term_id", "tags"]
+    assert [r["id"] for r in ObjectSet.find(ws, "Sample").head(2).collect()] == ["S1", "S2"]
+
+
+def test_term_finder(ws):
+    f = TermFinder(ws.ontology)
+    names = lambda df: sorted(r["term_id"] for r in df.collect())
+    assert names(f.find_root()) == ["DA:0000000", "ME:0000001"]
+    assert names(f.find_name("COUNTS", ignore_case=True)) == ["DA:0000001", "ME:0000001"]
+    assert names(f.find_name("counts", "DA:0000000")) == ["DA:0000001"]
+    assert names(f.find_name_prefix("soil ri")) == ["ME:0000002"]
+    assert names(f.find_parent_id("ME:0000001")) == ["ME:0000002"]
+    assert names(f.find_parent_path_id("DA:0000000")) == ["DA:0000001"]
+    assert names(f.parents(f.find_id("ME:0000002"))) == ["ME:0000001"]

@@ -27,6 +27,9 @@ def num_id(prefix: str, col: str):
 
 
 class Tables:
+    # Terms, processes, edges and arrays are written once per application and read from there:
+    # they stand for the stored tables a user would have. The queries themselves stay lazy.
+
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
         """Recasts are shared within one application, as loaded tables would be."""
@@ -227,9 +230,12 @@ class Tables:
             .unionByName(bricks)
         )
 
-    @property
+    @cached_property
     def process(self) -> DataFrame:
         """One row per process; all other columns are its metadata."""
+        return materialize(self._process(), "process")
+
+    def _process(self) -> DataFrame:
         nation = self.nation.select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("person_term_name"))
 
         def row(df, kind, key, term, person_id, campaign, start, end):
@@ -347,9 +353,12 @@ class Tables:
 
     # ---- arrays ----
 
-    @property
+    @cached_property
     def bricks(self) -> DataFrame:
         """One array per supplier: returnflag x linestatus x (year, or month when the balance is negative)."""
+        return materialize(self._bricks(), "bricks")
+
+    def _bricks(self) -> DataFrame:
         nation = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
         monthly = F.col("s_acctbal") < 0
         return self.supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
@@ -364,9 +373,12 @@ class Tables:
             monthly.alias("monthly"),
         )
 
-    @property
+    @cached_property
     def brick_cells(self) -> DataFrame:
         """brick_id, v1, v2, v3 (dimension values), quantity, price."""
+        return materialize(self._brick_cells(), "brick_cells")
+
+    def _brick_cells(self) -> DataFrame:
         time = F.when(F.col("monthly"), F.month("l_shipdate")).otherwise(F.year("l_shipdate"))
         return (
             self.lineitem.join(self.bricks, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -374,9 +386,12 @@ class Tables:
             .agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
         )
 
-    @property
+    @cached_property
     def sales_cells(self) -> DataFrame:
         """supplier x returnflag x ship month, 0-based i1, i2, i3."""
+        return materialize(self._sales_cells(), "sales_cells")
+
+    def _sales_cells(self) -> DataFrame:
         return (
             self.lineitem.groupBy(
                 F.col("l_suppkey").alias("i1"), flag_index("l_returnflag").alias("i2"), month_index("l_shipdate").alias("i3")
@@ -388,9 +403,12 @@ class Tables:
             )
         )
 
-    @property
+    @cached_property
     def sales_dims(self) -> list[DataFrame]:
         """One table per dimension: its index and its variables."""
+        return [materialize(d, f"sales_dim{n}") for n, d in enumerate(self._sales_dims(), 1)]
+
+    def _sales_dims(self) -> list[DataFrame]:
         d1 = self.supplier.join(self.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
             F.col("s_suppkey").alias("i1"),
             num_id("Supplier", "s_suppkey").alias("supplier"),
