@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.filters import below, exact_pattern, has_words, prefix_pattern
-from gridloom.session import materialize
+from gridloom.session import materialize, materialize_counted
 
 
 def build_terms(sources: list[DataFrame]) -> DataFrame:
@@ -147,8 +147,8 @@ def microtype_tree(terms: DataFrame, roots: DataFrame, wanted: DataFrame) -> Dat
         )
         # a term already on its own path is a cycle
         step = step.filter(F.size("path") == F.size(F.array_distinct("path")))
-        level = materialize(step.groupBy("term_id").agg(F.min("path").alias("path")), "tree")
-        if level.isEmpty():
+        level, n = materialize_counted(step.groupBy("term_id").agg(F.min("path").alias("path")), "tree")
+        if n == 0:
             break
         levels.append(level)
     union = functools.reduce(DataFrame.unionByName, levels)

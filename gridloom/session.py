@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -45,6 +46,23 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write parquet and count the rows on the way, without a second job.
+
+    A retried task may be counted twice, so use the number as a bound; 0 is always exact.
+    """
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
+
+
+def materialize_counted(df: DataFrame, label: str = "t") -> tuple[DataFrame, int]:
+    """``materialize`` with the number of rows written."""
+    path = scratch_path(df.sparkSession, label)
+    n = write_counted(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), n
+
+
 def release_scratch(spark: SparkSession) -> bool:
     """Delete this application's intermediate tables. DataFrames built on them stop working."""
     jvm = spark.sparkContext._jvm

@@ -359,7 +359,7 @@ def upload_with_processes(t):
     "process_conflicts",
     """WITH inc AS (SELECT o_orderkey, 'new' || o_orderkey AS id, 'old' || o_orderkey AS stored_id, o_orderstatus = 'F' AS meta, o_orderpriority = '1-URGENT' AS ins, o_orderpriority = '2-HIGH' AS outs,
               o_orderdate >= TIMESTAMP '1996-01-01' AS kept FROM orders)
-       SELECT id, stored_id, CASE WHEN outs THEN 1 ELSE 0 END AS missing_outputs, CASE WHEN meta THEN 'campaign' ELSE '' END AS changed_metadata, ins AS changed_inputs, outs AS changed_outputs
+       SELECT id, stored_id, CASE WHEN outs THEN 1 ELSE 0 END::BIGINT AS missing_outputs, CASE WHEN meta THEN 'campaign' ELSE '' END AS changed_metadata, ins AS changed_inputs, outs AS changed_outputs
        FROM inc WHERE kept AND (meta OR ins OR outs)""",
 )
 def process_conflicts(t):

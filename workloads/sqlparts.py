@@ -116,7 +116,7 @@ brick_cell(brick_id, v1, v2, v3, quantity, price) AS (
 SALES = """
 sales_cell(i1, i2, i3, quantity, price, n) AS (
   SELECT l_suppkey, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END,
-         (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1,
+         ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::INT,
          sum(l_quantity), round(sum(l_extendedprice), 2), count(*)
   FROM lineitem GROUP BY 1, 2, 3
 ),
@@ -126,7 +126,7 @@ sales_d1(i1, supplier, supplier_name, nation, balance, nation_key) AS (
 ),
 sales_d2(i2, flag) AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_returnflag FROM lineitem),
 sales_d3(i3, month, year) AS (
-  SELECT DISTINCT (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1, strftime(l_shipdate, '%Y-%m'), year(l_shipdate) FROM lineitem
+  SELECT DISTINCT ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::INT, strftime(l_shipdate, '%Y-%m'), year(l_shipdate)::INT FROM lineitem
 )"""
 
 
