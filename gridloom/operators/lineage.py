@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.reach import reach, reverse
+from gridloom.operators.reach import Edges, reach, reverse
 
 
 def producer_lookup(process_input: DataFrame, process_output: DataFrame, process: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def producer_lookup(process_input: DataFrame, process_output: DataFrame, process
     return made.join(inputs, "id", "left")
 
 
-def provenance_tree(start: DataFrame, process_input: DataFrame, process_output: DataFrame, edges: DataFrame) -> DataFrame:
+def provenance_tree(start: DataFrame, process_input: DataFrame, process_output: DataFrame, edges: Edges) -> DataFrame:
     """Everything upstream of ``start(obj)``: depth, obj, process_id, input, is_leaf.
 
     Each (object, process) once, at its least depth in object steps. A leaf is an input
@@ -38,7 +38,7 @@ def provenance_tree(start: DataFrame, process_input: DataFrame, process_output:
 def coassembled(
     process_input: DataFrame,
     process_output: DataFrame,
-    edges: DataFrame,
+    edges: Edges,
     assembly_type: str,
     reads_type: str,
     more_than: int = 1,

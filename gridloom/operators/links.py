@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import ref_key, ref_type, split_object_list, table_of
-from gridloom.operators.reach import reach, reach_from_each, reverse
+from gridloom.operators.reach import Edges, edge_rows, reach, reach_from_each, reverse
 from gridloom.session import materialize
 
 
@@ -48,18 +48,18 @@ def io_by_type(process_input: DataFrame, process_output: DataFrame) -> DataFrame
     )
 
 
-def linked_up_to(rows: DataFrame, vertex: str, start: DataFrame, edges: DataFrame) -> DataFrame:
+def linked_up_to(rows: DataFrame, vertex: str, start: DataFrame, edges: Edges) -> DataFrame:
     """Rows reachable downstream from ``start(vertex)`` in 1..100 edges."""
     found = reach(start, edges).select(F.col("vertex").alias(vertex))
     return rows.join(found, vertex, "left_semi")
 
 
-def linked_down_to(rows: DataFrame, vertex: str, start: DataFrame, edges: DataFrame) -> DataFrame:
+def linked_down_to(rows: DataFrame, vertex: str, start: DataFrame, edges: Edges) -> DataFrame:
     """Rows upstream of ``start(vertex)`` in 1..100 edges."""
     return linked_up_to(rows, vertex, start, reverse(edges))
 
 
-def linked_with_props(rows: DataFrame, vertex: str, start: DataFrame, start_vertex: str, props: list[str], edges: DataFrame) -> DataFrame:
+def linked_with_props(rows: DataFrame, vertex: str, start: DataFrame, start_vertex: str, props: list[str], edges: Edges) -> DataFrame:
     """Rows downstream of ``start`` with its properties copied on; distinct.
 
     Walks once per distinct combination of property values, not once per start object, and only
@@ -67,7 +67,7 @@ def linked_with_props(rows: DataFrame, vertex: str, start: DataFrame, start_vert
     """
     targets = rows.select(F.col(vertex).alias("vertex"))
     useful = reach(targets, reverse(edges), include_start=True).select(F.col("vertex").alias("dst"))
-    edges = materialize(edges.join(useful, "dst", "left_semi").select("src", "dst"), "edges")
+    edges = materialize(edge_rows(edges).join(useful, "dst", "left_semi").select("src", "dst"), "edges")
     tagged = start.select(start_vertex, F.to_json(F.struct(*props)).alias("root"), *props)
     found = reach_from_each(tagged.select("root", F.col(start_vertex).alias("vertex")), edges)
     values = tagged.select("root", *[F.col(p).alias("_up_" + p) for p in props]).distinct()
@@ -83,7 +83,7 @@ def search_all(
     processes: DataFrame,
     process_input: DataFrame,
     process_output: DataFrame,
-    edges: DataFrame,
+    edges: Edges,
     up: bool,
     down: bool,
 ) -> DataFrame:
@@ -134,7 +134,7 @@ def immediate_parent(
     return rows.join(made, vertex, "left_semi")
 
 
-def upstream_props(objects: DataFrame, edges: DataFrame, values: DataFrame) -> DataFrame:
+def upstream_props(objects: DataFrame, edges: Edges, values: DataFrame) -> DataFrame:
     """For each of ``objects(obj)`` and each property, the nearest upstream value.
 
     ``values(vertex, prop, value)`` holds the properties of possible upstream objects. Ties on
@@ -255,7 +255,7 @@ def forward_map(process_input: DataFrame, process_output: DataFrame) -> DataFram
     )
 
 
-def connects_up(refs: DataFrame, start: DataFrame, edges: DataFrame) -> DataFrame:
+def connects_up(refs: DataFrame, start: DataFrame, edges: Edges) -> DataFrame:
     """For ``refs(brick_id, vertex)``: is any referenced object downstream of ``start(vertex)``, or one itself."""
     found = reach(start, edges, include_start=True).select("vertex", F.lit(True).alias("hit"))
     return refs.join(found, "vertex", "left").groupBy("brick_id").agg(

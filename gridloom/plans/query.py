@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import filters, links
 from gridloom.operators.filters import Condition, EntityType, Ontology
-from gridloom.operators.reach import lineage_edges
-from gridloom.session import materialize
+from gridloom.operators.reach import EdgeTable, lineage_edges
 
 
 class Workspace:
@@ -19,7 +18,7 @@ class Workspace:
         self.process = process
         self.ontology = ontology
         self._input, self._output = process_input, process_output
-        self._edges: DataFrame | None = None
+        self._edges: EdgeTable | None = None
 
     @property
     def process_input(self) -> DataFrame:
@@ -38,10 +37,10 @@ class Workspace:
         return io.join(names, "obj_type", "left").withColumn("obj_type", F.coalesce("_ddt", "obj_type")).drop("_ddt")
 
     @property
-    def edges(self) -> DataFrame:
-        """Both edge tables as one (src, dst) table, written once: every walk step scans it."""
+    def edges(self) -> EdgeTable:
+        """Both edge tables as one, stored once in both directions: every walk step reads from it."""
         if self._edges is None:
-            self._edges = materialize(lineage_edges(self.process_input, self.process_output), "edges")
+            self._edges = EdgeTable.store(lineage_edges(self.process_input, self.process_output))
         return self._edges
 
     def query(self, type_name: str) -> "Query":

@@ -125,3 +125,12 @@ def test_microtype_tree_orders_each_term_once(spark):
     wanted = spark.createDataFrame([("r",), ("a",), ("b",), ("x",)], "term_id string")
     out = microtype_tree(terms, spark.createDataFrame([("r",)], "term_id string"), wanted).orderBy("path").collect()
     assert [(r["term_id"], r["depth"]) for r in out] == [("r", 0), ("a", 1), ("x", 2), ("b", 1)]
+
+
+def test_stored_edges_give_the_same_walks(spark, monkeypatch):
+    plain = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("x", "y"))
+    stored = rc.EdgeTable.store(plain)
+    for limit in (1000, 1, 0):
+        monkeypatch.setattr(rc, "SMALL_FRONTIER", limit)
+        assert found(rc.reach(start(spark, "a"), stored)) == found(rc.reach(start(spark, "a"), plain))
+        assert found(rc.reach(start(spark, "d"), rc.reverse(stored))) == {("b", 1), ("a", 2), ("c", 3)}

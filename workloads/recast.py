@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.bricks import Brick, Dim
 from gridloom.operators.filters import EntityType, Ontology, Prop
-from gridloom.operators.reach import term_closure
+from gridloom.operators.reach import EdgeTable, term_closure
 from gridloom.plans.query import Workspace
 from gridloom.session import materialize
 
@@ -280,7 +280,7 @@ class Tables:
         )
 
     @property
-    def edges(self) -> DataFrame:
+    def edges(self) -> EdgeTable:
         return self.workspace.edges
 
     @property
