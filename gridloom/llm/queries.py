@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, quality_rules, url_rules
+from gridloom.llm import mixing, packing, quality_rules, token_files, url_rules
 from gridloom.llm.common import n_words, table
-from gridloom.session import materialize
+from gridloom.llm.tokens import place
+from gridloom.session import materialize, scratch_path
 
 SOURCE_WEIGHTS = (5, 2, 1)
 SITE_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -58,6 +59,17 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    docs = table(spark, sf_dir, "documents")
+    token_files.write(docs, path, place("word_bpe_49k.json"), vocabulary=49_408, end=1, folds=True)
+    return token_files.read(spark, path)
+
+
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), place("byte_bpe_50k.json"), end=1, folds=False)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), doc_quality(table(spark, sf_dir, "labels")))
     stats = [f"q.{c}" for c in quality_rules.STATS]
@@ -73,6 +85,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op5_token_files": op5_token_files,
+    "op7_pack_sequences": op7_pack_sequences,
     "op8_quality_rules": op8_quality_rules,
     "op10_url_rules": op10_url_rules,
 }
