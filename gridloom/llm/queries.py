@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, packing, quality_rules, token_files, url_rules
+from gridloom.llm import html_text, mixing, packing, quality_rules, token_files, url_rules, vectors
 from gridloom.llm.common import n_words, table
 from gridloom.llm.tokens import place
 from gridloom.session import materialize, scratch_path
@@ -66,6 +66,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), place("byte_bpe_50k.json"), end=1, folds=False)
 
@@ -76,6 +80,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *stats, F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page counts as labelled bad when the document of its number is toxic or of low quality."""
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
@@ -86,8 +94,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_token_files": op5_token_files,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op7_pack_sequences": op7_pack_sequences,
     "op8_quality_rules": op8_quality_rules,
+    "op9_main_text": op9_main_text,
     "op10_url_rules": op10_url_rules,
 }
 ORACLES = {"op4_mix_sources": OP4_SQL}
