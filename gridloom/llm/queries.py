@@ -74,10 +74,14 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), place("byte_bpe_50k.json"), end=1, folds=False)
 
 
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return quality_rules.judge(docs, doc_quality(labels))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), doc_quality(table(spark, sf_dir, "labels")))
+    docs = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     stats = [f"q.{c}" for c in quality_rules.STATS]
-    return judged.select("doc_id", *stats, F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))
+    return docs.select("doc_id", *stats, F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
