@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import html_text, mixing, packing, quality_rules, token_files, url_rules, vectors
+from gridloom.llm import html_text, licences, mixing, packing, quality_rules, token_files, url_rules, vectors
 from gridloom.llm.common import n_words, table
 from gridloom.llm.tokens import place
 from gridloom.session import materialize, scratch_path
@@ -18,6 +18,12 @@ def doc_quality(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line of a document that names a licence."""
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled good weigh 2 in the draw, bad ones 0.5, others 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
@@ -96,6 +102,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licence_scan": op1_licence_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_files": op5_token_files,
     "op6_nearest_vectors": op6_nearest_vectors,
