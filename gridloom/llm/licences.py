@@ -184,7 +184,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", penalty: flo
     weights = {g: tuple(map(float, table[:, i])) for i, g in enumerate(vocabulary) if abs(table[:, i]).max() > 1e-6}
     anchors = {w for g in weights for w in g.split()} - common
     found = Model(classes, weights, tuple(map(float, model.interceptVector.toArray())), 0.5, tuple(sorted(anchors)))
-    tried = rows.where("held").select("label", score(F.col("g"), found).alias("p"))
+    tried = rows.where("held").select("label", probabilities(logits(F.col("g"), found)).alias("p"))
     tried = tried.select("label", F.array_max("p").alias("top"), (F.array_position("p", F.array_max("p")) - 1).alias("best"))
     tried = tried.select("top", (F.col("best") != F.col("label")).cast("int").alias("wrong"))
     results = sorted(((r.top, r.wrong) for r in tried.collect()), reverse=True)  # bounded by the sample
@@ -196,14 +196,17 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", penalty: flo
     return replace(found, cut=min(0.95, max(0.5, cut_at)))
 
 
-def score(g: Column, model: Model) -> Column:
-    """Probability of each class from an array of n-grams."""
+def logits(g: Column, model: Model) -> Column:
+    """Unnormalised log-probability of each class from an array of n-grams."""
     names = [*model.weights]
     table = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.array(*map(F.lit, model.weights[x])) for x in names]))
     hits = F.filter(g, lambda x: x.isin(names))
     start = F.array(*map(F.lit, model.bias))
-    logits = F.aggregate(hits, start, lambda acc, x: F.zip_with(acc, F.element_at(table, x), lambda a, b: a + b))
-    parts = F.transform(logits, lambda x: F.exp(x))
+    return F.aggregate(hits, start, lambda acc, x: F.zip_with(acc, F.element_at(table, x), lambda a, b: a + b))
+
+
+def probabilities(z: Column) -> Column:
+    parts = F.transform(z, lambda x: F.exp(x))
     total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
     return F.transform(parts, lambda x: x / total)
 
@@ -215,7 +218,11 @@ def scan(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
     """
     lines = paragraphs(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")), "t", "doc_id")
     lines = lines.where(F.exists(F.split(F.lower("line"), r"[^a-z0-9]+"), lambda x: x.isin(list(model.anchors))))
-    scored = lines.withColumn("g", grams(F.col("line"))).withColumn("p", score(F.col("g"), model))
+    scored = lines.withColumn("z", logits(grams(F.col("line")), model))
+    if NONE in model.classes:  # all families together can only be likelier than none if one is within ln of their number
+        near = F.log(F.lit(len(FAMILIES) + 0.5))
+        scored = scored.where(F.array_max(F.slice("z", 1, len(FAMILIES))) >= F.element_at("z", len(model.classes)) - near)
+    scored = materialize(scored, "candidates").withColumn("g", grams(F.col("line"))).withColumn("p", probabilities(F.col("z")))
     scored = scored.where(F.exists("g", lambda x: x.isin([*model.weights])))
     licence = 1 - F.element_at("p", len(model.classes)) if NONE in model.classes else F.lit(1.0)
     scored = scored.withColumn("licence", licence).where(F.col("licence") > 0.5)
