@@ -3,7 +3,8 @@
 Sets are ordered by one global order: n-grams by how full their bucket of a corpus-wide count sketch is, then by
 fingerprint. Documents with the same set are one class. Linked sets share an n-gram among their first (rarest) ones, so
 classes meet there; the classes that meet at an n-gram, and could link by size, all name one leader. Every linked pair has
-a leader in common, so a leader's members are joined with each other, in blocks of bounded size. A block is a trie of its
+a leader in common, so a leader's members are joined with each other, in blocks of bounded size: first by their prefixes
+alone, to leave out members without a possible partner, then by whole sets. A block is a trie of its
 sets, frequent n-grams first, so that alike sets share their path: the overlaps of a path with all other sets of the block
 are summed once for all sets below it, and a subtree is left when what remains cannot reach the overlap needed. A pair
 counts under the least leader that both name. Links within a task are counted, never written as pairs.
@@ -124,6 +125,63 @@ def leaders_of(classes: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "class long, leader long").distinct()
 
 
+def block_partners(rows: pa.Table, order: np.ndarray, percent: int) -> pa.Table:
+    """Classes of a block pair that can still link with another, from prefixes alone: class, leader.
+
+    Up to the end of the shorter of two prefixes (in the global order) both sets are known whole, so what differs there
+    counts against the difference that a linked pair may have.
+    """
+    side, size = np.asarray(rows.column("side")), np.asarray(rows.column("n"))
+    flat = np.asarray(rows.column("prefix").combine_chunks().flatten()).view(np.uint64)
+    lengths = np.asarray(pa.compute.list_value_length(rows.column("prefix")))
+    known, ids = np.unique(flat, return_inverse=True)
+    by_order = np.lexsort((known, order[known >> np.uint64(64 - SKETCH_BITS)]))
+    rank = np.empty(len(known), np.int64)
+    rank[by_order] = np.arange(len(known))
+    ranks = rank[ids]  # ascending within each prefix
+    start = np.concatenate([[0], np.cumsum(lengths)])
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place = owner * len(known) + ranks
+    end = ranks[start[1:] - 1]
+    by_gram = np.argsort(ranks, kind="stable")
+    holders, upto = owner[by_gram], np.concatenate([[0], np.cumsum(np.bincount(ranks, minlength=len(known)))])
+    twofold = bool((side == 1).any() and (side == 0).any())
+    stays = np.zeros(len(size), bool)
+    for i in np.flatnonzero(side == 0) if twofold else range(len(size)):
+        own = ranks[start[i] : start[i + 1]]
+        counts = upto[own + 1] - upto[own]
+        at = np.repeat(upto[own] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(int(counts.sum()))
+        common = np.bincount(holders[at], minlength=len(size))
+        common[i] = 0
+        js = np.flatnonzero(common)
+        if twofold:
+            js = js[side[js] == 1]
+        mine = np.searchsorted(own, np.minimum(end[js], end[i]), "right")
+        theirs = np.searchsorted(place, js * len(known) + np.minimum(end[js], end[i]), "right") - start[js]
+        total = size[i] + size[js]
+        # a linked pair differs in total - 2 * overlap, and its overlap is percent * total / (100 + percent) at least
+        fits = (mine + theirs - 2 * common[js]) * (100 + percent) <= (100 - percent) * total
+        js = js[fits]
+        if len(js):
+            stays[i] = True
+            stays[js] = True
+    return pa.table({"class": np.asarray(rows.column("class"))[stays], "leader": np.asarray(rows.column("leader"))[stays]})
+
+
+def with_blocks(named: DataFrame, classes: DataFrame, size: str, most: int) -> DataFrame:
+    """(class, leader) of leaders with other members, with copies, n and the leader's number of blocks."""
+    sizes = named.join(classes.select("class", "n", "copies", F.expr(size).alias("load")), "class")
+    weight = sizes.groupBy("leader").agg(F.sum("load").alias("load"), F.count("*").alias("members")).where(F.col("members") > 1)
+    return sizes.drop("load").join(weight.select("leader", F.ceil(F.col("load") / most).cast("int").alias("blocks")), "leader")
+
+
+def block_pairs(blocks: str = "blocks", key: str = "class"):
+    """One struct (x, y, side) per block pair that a member takes part in."""
+    own = F.pmod(F.col(key), F.col(blocks)).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y"), (own > o).cast("int").alias("side")))
+    return F.inline(pair)
+
+
 def trie_join(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(i, js, overlaps): the sets of ``b`` that reach ``percent`` with ``a[i]``; sets are in trie order."""
     flat_a, flat_b = np.concatenate(a), np.concatenate(b)
@@ -241,10 +299,13 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key
     classes = materialize(rows.where(F.col("n") > 0).groupBy("f1", "f2", "n").agg(F.min("row").alias("class"), F.count("*").alias("copies")), "classes")
     firsts = rows.join(classes.select("class"), rows.row == F.col("class")).select("class", "n", "prefix")
     named = materialize(leaders_of(firsts, percent), "leaders")
-    sizes = named.join(classes.select("class", "n", "copies"), "class")
-    weight = sizes.groupBy("leader").agg(F.sum("n").alias("grams"), F.count("*").alias("members")).where(F.col("members") > 1)
-    weight = weight.select("leader", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    told = sizes.join(weight, "leader").groupBy("class").agg(F.first("copies").alias("copies"), F.collect_set(F.struct("leader", "blocks")).alias("told"))
+    loads = with_blocks(named, classes, f"ceil(n * {100 - percent} / 100) + 1", BLOCK_GRAMS)
+    tried = loads.join(firsts.select("class", "prefix"), "class").select("leader", "class", "n", "prefix", "blocks")
+    tried = tried.select("leader", "class", "n", "prefix", block_pairs())
+    named = tried.groupBy("leader", "x", "y").applyInArrow(lambda t: block_partners(t, sketch.value, percent), "class long, leader long").distinct()
+    named = materialize(named, "partners")
+    told = with_blocks(named, classes, "n", BLOCK_GRAMS)
+    told = told.groupBy("class").agg(F.first("copies").alias("copies"), F.collect_set(F.struct("leader", "blocks")).alias("told"))
     chosen = source.select("row", "text").join(told, source.row == told["class"]).select("class", "copies", "told", "text")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
