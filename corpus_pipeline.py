@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, packing, queries
+from gridloom.llm import mixing, ngram_join, packing, queries
 from gridloom.llm.common import n_words, table
 from gridloom.llm.tokens import place
 from gridloom.session import scratch_path
@@ -22,6 +22,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.judged(docs, table(spark, sf_dir, "labels")).where("q_kept").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of documents that share 0.8 of their five-word shingles stays: the first by doc_id.
+
+    Documents without words are linked with nothing, so they stay.
+    """
+    docs = docs.select(*COLUMNS)
+    linked = ngram_join.link(docs, n=5, percent=80).select("row", "component", "doc_id", "n_shingles")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
+    return docs.withColumn("dup_row", F.monotonically_increasing_id()).join(first, F.col("dup_row") == F.col("first"), "left_semi").select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy that the mix takes: whole copies, and of each source's last document its first words."""
     mixed = mixing.mix(docs.select(*COLUMNS), n_words(F.col("text")), F.col("source"), F.col("doc_id"), F.lit(1.0), queries.SOURCE_WEIGHTS)
@@ -40,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, place("byte_bpe_50k.json"), end=1, folds=False)
 
 
-STAGES = [("quality rules", quality), ("source mixing", mix_sources), ("packing", pack)]
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("source mixing", mix_sources), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

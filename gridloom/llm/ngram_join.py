@@ -291,7 +291,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: row, doc_id, n_shingles, n_links (documents linked to it), component_id."""
+    """Per row of ``docs``: row (monotonically_increasing_id over it), component (the row that stands for its group), doc_id,
+    n_shingles, n_links (documents linked to it), component_id (the least doc_id of its group).
+
+    ``docs`` must be a stored table: it is read several times, and rows are told apart by their place.
+    """
     spark = docs.sparkSession
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = spark.sparkContext.broadcast(sketch_of(source, n))
@@ -340,7 +344,7 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key
     of_row = of_row.withColumn("root", F.coalesce("root", "row"))
     names = of_row.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     done = of_row.join(names, "root")
-    return done.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    return done.select("row", F.col("root").alias("component"), "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
 
 
 _SENT = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())

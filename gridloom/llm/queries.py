@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import html_text, licences, mixing, ngram_join, packing, quality_rules, token_files, url_rules, vectors
+from gridloom.llm import html_text, licences, lm, mixing, ngram_join, packing, quality_rules, token_files, url_rules, vectors
 from gridloom.llm.common import n_words, table
 from gridloom.llm.tokens import place
 from gridloom.session import materialize, scratch_path
@@ -29,6 +29,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled good weigh 2 in the draw, bad ones 0.5, others 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
@@ -109,6 +113,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_licence_scan": op1_licence_scan,
     "op2_ngram_join": op2_ngram_join,
+    "op3_lm_score": op3_lm_score,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_files": op5_token_files,
     "op6_nearest_vectors": op6_nearest_vectors,
