@@ -100,7 +100,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         "line_words": F.when(b["lines"] > 0, F.floor(b["n_words"] / b["lines"])).otherwise(F.lit(0)).cast("long"),
     }
     q = F.struct(*[b[c].alias(c) for c in STATS], *[v.alias(k) for k, v in tests.items()])
-    return df.withColumn("q", q).select(*docs.columns, "q")
+    return df.withColumn("q", q).select(*[c for c in docs.columns if c != "q"], "q")  # a column q is replaced
 
 
 def base_failed(q: str = "q", least_words: int = 50, most_repeated: int = 50) -> Column:

@@ -47,17 +47,17 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 def mine(
     labelled: DataFrame, min_support: float = 0.0005, min_count: int = 8, min_confidence: float = 0.8,
-    common_share: float = 0.4,
+    common_share: float = 0.75,
 ) -> DataFrame | None:
     """Rules from ``labelled`` (tokens array, blocked boolean): items, key (the rarest item), confidence, support.
 
     Tokens in more than ``common_share`` of the rows decide nothing alone and are left out of the item sets; a rule
     needs ``min_support`` of the rows and ``min_count`` rows, and ``min_confidence``. A rule is dropped when a subset
-    of its items is a rule of at least its confidence. None when there are no labelled rows.
+    of its items is a rule of at least its confidence. None when there are fewer labelled rows than ``min_count``.
     """
     labelled = materialize(labelled.select("tokens", "blocked").where(F.size("tokens") > 0), "urls")
     n = labelled.count()
-    if n == 0:
+    if n < min_count:
         return None
     common = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > common_share * n)
     common = [r.t for r in common.collect()]  # at most tokens per row / common_share of them
