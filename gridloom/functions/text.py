@@ -153,6 +153,16 @@ def normalize_boolean(col) -> Column:
     return F.when(_c(col).isin(TRUE_TEXTS), F.lit(1)).when(_c(col).isin(FALSE_TEXTS), F.lit(0))
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number(col) -> Column:
+    """Text as a double, null for what is no number. The cast alone would take ``1d`` and ``2F`` for numbers."""
+    text = F.trim(_c(col))
+    fine = text.rlike(NUMBER) | F.lower(text).isin("nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+    return F.when(fine, text.try_cast("double"))
+
+
 def cast_scalar(col, scalar_type: str) -> Column:
     """Cast text by scalar type; what does not parse becomes null."""
     text = _c(col)
@@ -160,7 +170,7 @@ def cast_scalar(col, scalar_type: str) -> Column:
     if kind == "int":
         return text.try_cast("bigint")
     if kind in ("float", "double"):
-        return nan_to_null(text.try_cast("double"))
+        return nan_to_null(number(text))
     if kind in ("bool", "boolean"):
         return normalize_boolean(text)
     return text

@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import number
 from gridloom.session import materialize
 
 
@@ -68,7 +69,7 @@ def infer_column_types(df: DataFrame, columns: list[str]) -> DataFrame:
             F.count(v).alias(c + "#n"),
             F.count_if(~F.lower(v).isin(BOOLEAN_TEXTS)).alias(c + "#bool"),
             F.count_if(v.isNotNull() & v.try_cast("decimal(38,0)").isNull() | v.contains(".") | v.rlike("[eE]")).alias(c + "#int"),
-            F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(c + "#num"),
+            F.count_if(v.isNotNull() & number(v).isNull()).alias(c + "#num"),
         ]
     row = df.agg(*aggs)
     kinds = [

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.text import cast_scalar, null_text, term_id_of, term_name_of
+from gridloom.functions.text import cast_scalar, null_text, number, term_id_of, term_name_of
 
 _TERM_FORM = r"^\s*[^<>]*<[^<>:]+:[^<>]+>\s*$"
 
@@ -230,7 +230,7 @@ def validate_type_value(rows: DataFrame, microtypes: DataFrame, terms: DataFrame
         F.when((kind == "oterm_ref") & F.col("_known").isNull(), "value term not found")
         .when((kind == "oterm_ref") & F.col("valid_values_parent").isNotNull() & F.col("_below").isNull(), "value not below the valid parent")
         .when((kind == "int") & ~F.col("value_text").rlike(r"^-?\d+$"), "value is not int")
-        .when((kind == "float") & F.col("value_text").try_cast("double").isNull(), "value is not float")
+        .when((kind == "float") & number(F.col("value_text")).isNull(), "value is not float")
     )
     return full.select("row_id", error.alias("error")).filter("error is not null")
 

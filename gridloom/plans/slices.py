@@ -69,7 +69,9 @@ def _axis(brick: Brick, d: DimId) -> DataFrame:
         label = F.col(only) if only else concat_dim_values(*dim.variables)
         return dim.df.select("idx", label.alias(d.key), F.col("idx").alias(d.key + "_pos"))
     first = dim.df.groupBy(d.var).agg(F.min("idx").alias(d.key + "_pos"))
-    return dim.df.select("idx", d.var).join(first, d.var).select("idx", F.col(d.var).alias(d.key), d.key + "_pos")
+    first = first.withColumnRenamed(d.var, d.key)
+    joined = dim.df.select("idx", d.var).join(first, F.col(d.var).eqNullSafe(F.col(d.key)))  # null is a value of its own
+    return joined.select("idx", d.key, d.key + "_pos")
 
 
 def _fixed_cells(brick: Brick, constant: dict[str, int]) -> DataFrame:

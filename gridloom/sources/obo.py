@@ -27,10 +27,12 @@ def _all(key: str, pattern: str) -> Column:
 def scan_obo(spark: SparkSession, path, ontology_id: str) -> DataFrame:
     """One row per ``[Term]`` stanza: id, name, definition, all parents, synonyms, references, flags, units, properties.
 
-    Files split at blank lines, so stanzas are read in parallel.
+    Files split at the stanza heads, so stanzas are read in parallel whatever their line ends and blank lines are. A
+    record ends at the head of another kind of stanza; the part before the first term has no id.
     """
-    stanzas = spark.read.text(path, lineSep="\n\n").withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))
-    stanzas = stanzas.filter(F.trim("value").startswith("[Term]") | F.col("value").contains("\n[Term]"))
+    stanzas = spark.read.text(path, lineSep="\n[Term]").withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))
+    stanzas = stanzas.withColumn("value", F.regexp_extract("value", r"(?s)\A(.*?)(?:\n\s*\[[A-Za-z]+\]|\z)", 1))
+    stanzas = stanzas.filter(F.col("value").rlike(r"(?m)^id:\s*\S"))
     props = F.regexp_extract_all("value", F.lit(r"(?m)^property_value:\s*(\S+\s+\"[^\"]*\")"), 1)
 
     def prop(key: str) -> Column:
