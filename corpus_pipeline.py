@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, ngram_join, packing, queries
-from gridloom.llm.common import n_words, table
+from gridloom.llm.common import n_words, table, words
 from gridloom.llm.tokens import place
 from gridloom.session import scratch_path
 
@@ -34,13 +34,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes: whole copies, and of each source's last document its first words."""
+    """One row per copy that the mix takes: whole copies, and of each source's last document its first words, joined by blanks."""
     mixed = mixing.mix(docs.select(*COLUMNS), n_words(F.col("text")), F.col("source"), F.col("doc_id"), F.lit(1.0), queries.SOURCE_WEIGHTS)
     size, taken = F.col("mix_size"), F.col("mix_taken")
     copies = F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))
     rows = mixed.where(taken > 0).withColumn("mix_copy", F.explode(copies))
     rest = taken - (F.col("mix_copy") - 1) * size
-    cut = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), rest, F.lit("})")), 1)
+    cut = F.array_join(F.slice(words(F.col("text")), F.lit(1), rest.cast("int")), " ")
     text = F.when(rest < size, cut).otherwise(F.col("text"))
     n_chars = F.when(rest < size, F.length(cut).cast("long")).otherwise(F.col("n_chars"))
     return rows.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
