@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from gridloom.llm import mixing, ngram_join, packing, queries
 from gridloom.llm.common import n_words, table, words
 from gridloom.llm.tokens import place
-from gridloom.session import scratch_path
+from gridloom.session import materialize, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a learned rule rejects go."""
-    return queries.judged(docs, table(spark, sf_dir, "labels")).where("q_kept").select(*COLUMNS)
+    judged = queries.judged(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).select(*COLUMNS, "q_kept")
+    # stored before the filter: pushed down, the filter would work out the statistics again, nested in each other
+    return materialize(judged, "judged").where("q_kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
