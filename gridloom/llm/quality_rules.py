@@ -227,7 +227,10 @@ def rejecting_rule(rules: Sequence[Rule], q: str = "q") -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with ``q`` (statistics), ``q_base_failed``, ``q_rule`` (the rule that rejects, or null) and ``q_kept``."""
+    """``docs`` with ``q`` (statistics), ``q_base_failed``, ``q_rule`` (the rule that rejects, or null) and ``q_kept``.
+
+    Store the result before filtering by these columns: a filter pushed down repeats the statistics, nested in each other.
+    """
     rules = learn(labelled_sample(docs, labels, text=text, key=key))
     df = with_stats(docs, text).withColumn("q_base_failed", base_failed()).withColumn("q_rule", rejecting_rule(rules))
     return df.withColumn("q_kept", ~F.col("q_base_failed") & F.col("q_rule").isNull())
