@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.url_rules import host_path
+from gridloom.session import materialize
 
 #: A comment, an element whose content is no text, a declaration, or a tag with its attributes.
 MARKUP = re.compile(
@@ -193,5 +194,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     host, _ = host_path(F.col(url))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
     winners = vote(rows).groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path"))
+    # one row per host, stored so that its size is known before the join: pages are dealt by host only where it is large
+    winners = materialize(winners, "winners")
     joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")
