@@ -29,10 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words are linked with nothing, so they stay.
     """
-    docs = docs.select(*COLUMNS)
-    linked = ngram_join.link(docs, n=5, percent=80).select("row", "component", "doc_id", "n_shingles")
+    # numbered and stored once: a number worked out again by another scan may be another document's
+    docs = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("dup_row")), "numbered")
+    linked = ngram_join.link(docs, n=5, percent=80, row="dup_row").select("row", "component", "doc_id", "n_shingles")
     first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
-    return docs.withColumn("dup_row", F.monotonically_increasing_id()).join(first, F.col("dup_row") == F.col("first"), "left_semi").select(*COLUMNS)
+    return docs.join(first, F.col("dup_row") == F.col("first"), "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -290,14 +290,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: row (monotonically_increasing_id over it), component (the row that stands for its group), doc_id,
+def link(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """Per row of ``docs``: row (its number), component (the row that stands for its group), doc_id,
     n_shingles, n_links (documents linked to it), component_id (the least doc_id of its group).
 
-    ``docs`` must be a stored table: it is read several times, and rows are told apart by their place.
+    Rows are numbered once and stored with their number, since another scan may be split, and so numbered, otherwise.
+    ``row`` names a column of distinct numbers of ``docs``, which must then be stored with it.
     """
     spark = docs.sparkSession
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    source = docs.select(number.alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if row is None:
+        source = materialize(source, "numbered")
     sketch = spark.sparkContext.broadcast(sketch_of(source, n))
     rows = materialize(signatures(source, sketch, n, percent), "signatures")
     classes = materialize(rows.where(F.col("n") > 0).groupBy("f1", "f2", "n").agg(F.min("row").alias("class"), F.count("*").alias("copies")), "classes")

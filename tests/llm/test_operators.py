@@ -47,6 +47,30 @@ def test_join(docs, none, n, percent):
     assert ngram_join.link(none, n, percent).count() == 0
 
 
+def test_join_when_scans_are_split_otherwise(spark, stored, monkeypatch):
+    import corpus_pipeline
+
+    texts = [(k, " ".join(f"g{k % 20}w{i}" for i in range(30)) + f" x{k}", "en", "s", 0) for k in range(60)]
+    table = stored(texts, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def then_other_cores(df, label):
+        out = store(df, label)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+        return out
+
+    store = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", then_other_cores)
+    monkeypatch.setattr(corpus_pipeline, "materialize", then_other_cores)
+    try:
+        got = ngram_join.link(table, 5, 80).collect()
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        kept = corpus_pipeline.near_duplicates(spark, table, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert {(r.doc_id, r.n_links, r.component_id) for r in got} == {(k, 2, k % 20) for k in range(60)}
+    assert sorted(r.doc_id for r in kept) == [*range(20)]
+
+
 def test_trie_join_meets_every_pair_in_blocks(stored, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 300)
     base = [f"w{i}" for i in range(60)]
