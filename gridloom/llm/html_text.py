@@ -30,7 +30,8 @@ MARKUP = re.compile(
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']*+(?:\"[^\"]*+\"|'[^']*+')?+)*?)>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A whole attribute, so that neither the end of a longer name nor what a value quotes is taken for one.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body main article section div td th table tbody tr center blockquote".split())
 BLOCKS = CONTAINERS | frozenset(
@@ -38,7 +39,7 @@ BLOCKS = CONTAINERS | frozenset(
     "fieldset thead tfoot caption menu dialog br hr".split()
 )
 OUTSIDE = frozenset("nav header footer aside form menu dialog button label input head".split())
-#: Parts of a class, id or role that mark what is not the article.
+#: Parts of a class, id or role that mark what is not the article, unless too much of the page is in it.
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar side aside rail widget footer foot header masthead topbar comment comments reply "
@@ -50,11 +51,13 @@ CLOSES_P = BLOCKS - {"br"}
 SAME = {"li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th"}
 #: A container holds the article when it holds this share of a page's text outside the parts above.
 MOST = 0.8
+#: A word marks an element with this share of the text as outside only if the lead article holds LEAD of it elsewhere.
+HALF, LEAD = 0.5, 0.2
 
 
-def _outside(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is no part of the article, and its step in a path."""
-    step, out = tag, tag in OUTSIDE
+def _outside(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element is no part of the article, whether a word says so, and its step in a path."""
+    step, out, marked = tag, tag in OUTSIDE, False
     if attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
@@ -62,27 +65,66 @@ def _outside(tag: str, attributes: str) -> tuple[bool, str]:
             if name in ("hidden", "aria-hidden"):
                 out = out or value != "false"
                 continue
+            if name not in ("class", "id", "role"):
+                continue
             parts = re.split(r"[^a-z0-9]+", value)
             if tag not in ("html", "body", "main", "article") and not OUTSIDE_WORDS.isdisjoint(parts):
-                out = True
+                marked = True
             if name == "class" and value:
                 step = tag + "".join("." + c for c in sorted(set(re.sub(r"\d+", "0", value).split())))
-    return out, step
+    return out, marked, step
+
+
+def _sums(chunks: list[str | None]) -> list[int]:
+    """Length of the text before each chunk."""
+    sums = [0]
+    for c in chunks:
+        sums.append(sums[-1] + (len(c.strip()) if c else 0))
+    return sums
+
+
+def _without(marks: list[list[int]], leads: list[list[int]], chunks: list[str | None]) -> list[tuple[int, int]]:
+    """Spans of the marked elements that are no part of the article, apart from each other, in page order.
+
+    The lead is the longest article or main. An element around it stays; so does one with HALF of the text, unless the
+    lead holds LEAD of the text outside marked elements. Nothing goes when nothing would be left.
+    """
+    sums = _sums(chunks)
+    total = sums[-1]
+
+    def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for lo, hi in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if not out or hi > out[-1][1]:
+                out.append((max(lo, out[-1][1]) if out else lo, hi))
+        return out
+
+    def size(spans: list[tuple[int, int]], lo: int, hi: int) -> int:
+        return sum(max(0, sums[min(b, hi)] - sums[max(a, lo)]) for a, b in spans if a < hi and b > lo)
+
+    a, b = max(leads, key=lambda s: sums[s[1]] - sums[s[0]], default=(0, 0))
+    held = sums[b] - sums[a] > 0
+    tried = [(lo, hi) for lo, hi in marks if not (held and lo <= a and b <= hi)]
+    elsewhere = held and sums[b] - sums[a] - size(apart(tried), a, b) >= LEAD * total
+    gone = apart([(lo, hi) for lo, hi in tried if elsewhere or sums[hi] - sums[lo] < HALF * total])
+    return gone if size(gone, 0, len(chunks)) < total else []
 
 
 def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str | None]]:
     """Containers (path, first and last chunk) in page order, and chunks of article text; None is a break."""
     chunks: list[str | None] = []
     containers: list[list] = [["", 0, 0]]
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, outside, container
+    marks: list[list[int]] = []
+    leads: list[list[int]] = []
+    stack: list[tuple[str, str, bool, list[list]]] = [("", "", False, [])]  # tag, path, outside, spans that end with it
     at = 0
 
     def pop(tag: str, barriers: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
-                for _, _, _, c in stack[k:]:
-                    if c >= 0:
-                        containers[c][2] = len(chunks)
+                for _, _, _, ends in stack[k:]:
+                    for span in ends:
+                        span[-1] = len(chunks)
                 del stack[k:]
                 return
             if stack[k][0] in barriers:
@@ -113,20 +155,30 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str | None]]:
             pop("p", CONTAINERS)
         if tag in SAME:
             pop(tag, _LISTS)
-        out, step = _outside(tag, m[4])
+        out, marked, step = _outside(tag, m[4])
         _, path, above, _ = stack[-1]
-        c = -1
+        out = out or above
+        ends: list[list] = []
         if tag in CONTAINERS:
             path = f"{path}>{step}"
-            if not (out or above):
-                c = len(containers)
+            if not out:
                 containers.append([path, len(chunks), -1])
+                ends.append(containers[-1])
         if not m[4].endswith("/") or block:
-            stack.append((tag, path, out or above, c))
+            if marked and not out:
+                marks.append([len(chunks), -1])
+                ends.append(marks[-1])
+            if tag in ("article", "main") and not out:
+                leads.append([len(chunks), -1])
+                ends.append(leads[-1])
+            stack.append((tag, path, out, ends))
     text(page[at:])
-    for c in containers:
-        if c[2] < 0 or c[0] == "":
-            c[2] = len(chunks)
+    for span in (*containers, *marks, *leads):
+        if span[-1] < 0 or span[0] == "":
+            span[-1] = len(chunks)
+    for lo, hi in _without(marks, leads, chunks) if marks else ():
+        chunks[lo:hi] = [c and "" for c in chunks[lo:hi]]
+        containers = [c for c in containers if not (lo <= c[1] and c[2] <= hi) or c[0] == ""]
     return [tuple(c) for c in containers], chunks
 
 
@@ -139,9 +191,7 @@ def best(containers: list[tuple[str, int, int]], chunks: list[str | None]) -> tu
 
     Of the containers with MOST of the text: the outermost article, else the outermost main, else the innermost.
     """
-    sums = [0]
-    for c in chunks:
-        sums.append(sums[-1] + (len(c.strip()) if c else 0))
+    sums = _sums(chunks)
     total = sums[-1]
     large = [(p, sums[hi] - sums[lo]) for p, lo, hi in containers if total and sums[hi] - sums[lo] >= MOST * total]
     if not large:

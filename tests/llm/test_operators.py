@@ -227,6 +227,21 @@ def test_pages(stored):
     assert url_rules.judge(none, labels, rules).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<body><div class="content has-sidebar"><article>The whole text<div class="comments">no</div></article></div></body>', "The whole text"),
+    ('<body><div class="no-sidebar"><p>The whole text of a page</p></div><div class="ad">buy</div></body>', "The whole text of a page"),
+    ('<body><div id="search-result-page"><main>Found text</main><div class="widget">no</div></div></body>', "Found text"),
+    ('<body><p data-id="ad" data-class="menu" title="a class=nav">Plain text</p> and more</body>', "Plain text and more"),
+    ('<body><article>Short text</article><div class="comments">' + "long talk " * 4 + "</div></body>", "Short text"),
+    ('<body><div class="col-side">one</div><div class="col-side">two</div><div class="col-side">six</div></body>', "one two six"),
+    ('<body><p>Kept te<b class="ad">buy</b>xt of the page</p></body>', "Kept text of the page"),
+    ('<body><span class="ad">buy <b>now</b></span><p>Kept text of the page</p></body>', "Kept text of the page"),
+])
+def test_word_marks_never_drop_the_article(page, want):
+    parsed = html_text.parse(page)
+    assert html_text.main_text(*parsed, html_text.best(*parsed)[0]) == want
+
+
 def test_mined_url_rules(stored):
     rows = [(i, f"http://{'spam' if i % 3 == 0 else 'fine'}.site{i % 7}.org/{'offer' if i % 2 else 'news'}/{i}", "") for i in range(600)]
     pages = stored(rows, "page_id long, url string, html string")
