@@ -1,22 +1,22 @@
 """Main text of web pages by consensus of a host's pages.
 
-Every page scores its containers and votes, by the length of its text, for the generalised path (tags and classes, digits
-folded) of the one that holds the article; Spark sums the votes per host and path. Then each page is read again with its
-host's winning path; a page without such a container falls back to its own best one.
+Every page scores its containers and votes for the generalised path (tags and classes, digits folded) of the one that
+holds the article; Spark counts the votes per host and path. Then each page is read again with its host's leading paths:
+the first that holds MOST of the page's text is used; a page without such a container falls back to its own best one.
 
 Defined results: null, empty or tagless html gives its decoded text as a body would, so an empty string when there is none;
-a null url belongs to the host "" and votes there; repeated rows vote each; equal votes go to the greater path; an empty
-table gives no rows.
+a null url belongs to the host "" and votes there; repeated rows vote each; equal votes go to the path with more text, then
+to the greater path; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.url_rules import host_path
@@ -53,6 +53,8 @@ SAME = {"li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th"}
 MOST = 0.8
 #: A word marks an element with this share of the text as outside only if the lead article holds LEAD of it elsewhere.
 HALF, LEAD = 0.5, 0.2
+#: Paths of a host that are tried on its pages; where none fits, the page's own is used.
+TRIED = 8
 
 
 def _outside(tag: str, attributes: str) -> tuple[bool, bool, str]:
@@ -189,7 +191,8 @@ _LISTS = frozenset(["ul", "ol", "dl", "table"])
 def best(containers: list[tuple[str, int, int]], chunks: list[str | None]) -> tuple[str, int]:
     """The path of the container that holds the article, and the length of its text.
 
-    Of the containers with MOST of the text: the outermost article, else the outermost main, else the innermost.
+    Of the containers with MOST of the text: the outermost article, else the outermost main. Else the innermost with all of
+    it: what is unmarked around the largest container is text, too.
     """
     sums = _sums(chunks)
     total = sums[-1]
@@ -200,15 +203,26 @@ def best(containers: list[tuple[str, int, int]], chunks: list[str | None]) -> tu
         for p, n in large:
             if p.rpartition(">")[2].split(".")[0] == tag:
                 return p, n
-    return large[-1]
+    return [x for x in large if x[1] == total][-1]
+
+
+def path_for(containers: list[tuple[str, int, int]], chunks: list[str | None], paths: Sequence[str]) -> str:
+    """The first of ``paths`` whose containers hold MOST of the page's text, else the page's own best one."""
+    sums = _sums(chunks)
+    for path in paths:
+        held = end = 0
+        for p, lo, hi in containers:
+            if p == path and hi > end:
+                held += sums[hi] - sums[max(lo, end)]
+                end = hi
+        if held and held >= MOST * sums[-1]:
+            return path
+    return best(containers, chunks)[0]
 
 
 def main_text(containers: list[tuple[str, int, int]], chunks: list[str | None], path: str) -> str:
-    """Text of all containers with this path, in page order; of the page's own best one if there are none."""
-    spans = [(lo, hi) for p, lo, hi in containers if p == path and path]
-    if not any(c and c.strip() for lo, hi in spans for c in chunks[lo:hi]):
-        path = best(containers, chunks)[0]
-        spans = [(lo, hi) for p, lo, hi in containers if p == path]
+    """Text of all containers with this path, in page order."""
+    spans = [(lo, hi) for p, lo, hi in containers if p == path]
     out: list[str] = []
     end = 0
     for lo, hi in spans:
@@ -219,7 +233,7 @@ def main_text(containers: list[tuple[str, int, int]], chunks: list[str | None],
 
 
 def vote(pages: DataFrame) -> DataFrame:
-    """host, path, votes of the pages (host, html), summed by Spark."""
+    """host, path, votes (pages) and n (length of their text) of the pages (host, html), summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,24 +241,30 @@ def vote(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["host", "path", "n"])
 
     ballots = pages.select("host", "html").mapInArrow(run, "host string, path string, n long")
-    return ballots.where(F.col("path") != "").groupBy("host", "path").agg(F.sum("n").alias("votes"))
+    return ballots.where(F.col("path") != "").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("n").alias("n"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page, and the path used for its host."""
+    """page_id, url, text, n_chars of every page, and the path used for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(*parse(h or ""), p or "") for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            texts, used = [], []
+            for h, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
+                parsed = parse(h or "")
+                used.append(path_for(*parsed, paths or ()))
+                texts.append(main_text(*parsed, used[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64()), batch.column("path")],
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64()), pa.array([p or None for p in used], pa.string())],
                 names=["page_id", "url", "text", "n_chars", "path"],
             )
 
     host, _ = host_path(F.col(url))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
-    winners = vote(rows).groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path"))
+    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("n"), F.desc("path"))
+    leading = vote(rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TRIED)
+    winners = leading.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path")))["path"].alias("paths"))
     # one row per host, stored so that its size is known before the join: pages are dealt by host only where it is large
     winners = materialize(winners, "winners")
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "path")
+    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")

@@ -242,6 +242,19 @@ def test_word_marks_never_drop_the_article(page, want):
     assert html_text.main_text(*parsed, html_text.best(*parsed)[0]) == want
 
 
+def test_pages_of_two_templates(stored):
+    plain = '<body><div class="x"><p>Lead of {0}</p><table class="body"><tr><td>' + "many words " * 9 + "</td></tr></table></div></body>"
+    article = '<body><div>Site name</div><article class="{0}">' + "an article with its words " * 4 + "</article></body>"
+    long = "<body><section>" + "one long page " * 900 + "</section></body>"
+    other = "<body><section>aside</section><article>" + "what the page tells " * 9 + "</article></body>"
+    html = [plain.format(1), article.format("k"), article.format("k"), long, other, plain.format(2)]
+    pages = stored([(i, "http://a.org/x", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    kept = " ".join(("an article with its words " * 4).split())
+    want = [f"Lead of 1 {'many words ' * 9}".strip(), kept, kept, ("one long page " * 900).strip(), ("what the page tells " * 9).strip(), f"Lead of 2 {'many words ' * 9}".strip()]
+    assert [got[i] for i in range(6)] == want
+
+
 def test_mined_url_rules(stored):
     rows = [(i, f"http://{'spam' if i % 3 == 0 else 'fine'}.site{i % 7}.org/{'offer' if i % 2 else 'news'}/{i}", "") for i in range(600)]
     pages = stored(rows, "page_id long, url string, html string")
