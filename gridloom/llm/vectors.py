@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import materialize
 
-#: Rows, first by hash of the id, on which centres, probes and first thresholds are fitted.
+#: Ids, first by hash, with a row each, on which centres, probes and first thresholds are fitted.
 SAMPLE_ROWS = 8_192
 #: Rows per list aimed at, and bounds on the number of lists.
 LIST_ROWS, FEWEST_LISTS, MOST_LISTS = 1_024, 8, 1_024
@@ -70,6 +70,13 @@ def probes_for(sample: np.ndarray, centres: np.ndarray, top: int, queries: int =
     return int(np.quantile(ranks, TARGET, method="higher")) + 1
 
 
+def merged(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
+    """Places of the best row of each of the ``top`` best ids."""
+    order = np.lexsort((ids, -scores))
+    first = np.sort(np.unique(ids[order], return_index=True)[1])
+    return order[first[:top]]
+
+
 def scan(ids: np.ndarray, rows: np.ndarray, turned: np.ndarray, asks: np.ndarray, vectors: np.ndarray, floors: np.ndarray, top: int, rotation: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per query: (its number, ids, exact scores) of the best rows of this list part."""
     dims = rows.shape[1]
@@ -99,8 +106,8 @@ def scan(ids: np.ndarray, rows: np.ndarray, turned: np.ndarray, asks: np.ndarray
             if len(at):
                 kept_ids = np.append(kept_ids, ids[at])
                 kept = np.append(kept, (rows[at].astype(np.float64) * q.astype(np.float64)).sum(1))
-                if len(kept) > top:
-                    best = np.lexsort((kept_ids, -kept))[:top]
+                if len(kept) >= top:
+                    best = merged(kept_ids, kept, top)
                     kept_ids, kept = kept_ids[best], kept[best]
                 if len(kept) == top:
                     level = max(level, float(kept.min()))
@@ -119,7 +126,9 @@ def search(vectors: DataFrame, asks: Column, top: int = 20, key: str = "vec_id",
         return empty
     dims, total = sizes.d, sizes.n
     rows = rows.where(F.size("v") == dims)
-    drawn = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
+    # one row of each id: copies would take the places of other ids, in the sample and among the first 20
+    some = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    drawn = rows.select("id", "v").join(some, "id").groupBy("id").agg(F.max("v").alias("v")).orderBy(F.xxhash64("id"), "id").collect()
     sample = np.array([r.v for r in drawn], np.float32)
     sample_ids = np.array([r.id for r in drawn], np.int64)
     k = max(1, min(len(sample), MOST_LISTS, max(FEWEST_LISTS, total // LIST_ROWS)))
@@ -189,12 +198,24 @@ def search(vectors: DataFrame, asks: Column, top: int = 20, key: str = "vec_id",
         kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
         return pa.table({c: np.concatenate(v) if v else np.zeros(0, kinds[c]) for c, v in found.items()})
 
+    def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            exact = (matrix(batch.column("v")).astype(np.float64) * matrix(batch.column("q")).astype(np.float64)).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(exact)], names=["query_id", "vec_id", "score"])
+
     salt = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1)
     base = indexed.select("id", "v", "list", F.pmod(F.xxhash64("id"), salt).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     wanted = questions.mapInArrow(ask, "id long, v array<float>, floor double, list int, part int, block int")
     keys = ["list", "part", "block"]
     hits = wanted.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(lambda a, b: within(b, a), "query_id long, vec_id long, score double")
     hits = hits.unionByName(questions.mapInArrow(ask_sample, "query_id long, vec_id long, score double"))
+    again = indexed.groupBy("id").count().where(F.col("count") > 1).select("id")
+    if not again.isEmpty():
+        # a found id may have a better row in a list that was not probed, or outside the sample
+        found = hits.select("query_id", F.col("vec_id").alias("id")).distinct().join(again, "id")
+        found = found.join(questions.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        pairs = found.join(indexed.select("id", "v"), "id").select("query_id", "id", "q", "v")
+        hits = hits.unionByName(pairs.mapInArrow(rescore, "query_id long, vec_id long, score double"))
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

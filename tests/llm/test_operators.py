@@ -287,6 +287,35 @@ def test_vectors(stored, monkeypatch):
     assert vectors.search(stored([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_vectors_with_repeated_ids(stored, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 24)).astype(np.float32)
+    x[1] = 3 * x[0]  # nearest to id 0, and repeated most
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(52 if i == 1 else 2)]
+    rows += [(7, (-x[7]).tolist())]
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 64)
+    got = defaultdict(list)
+    for r in vectors.search(stored(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q, found in got.items():
+        scores = x.astype(float) @ x[q].astype(float)
+        scores[7] = abs(scores[7])
+        scores[q] = -np.inf
+        found.sort()
+        assert [f[0] for f in found] == [*range(1, 21)] and len({f[1] for f in found}) == 20
+        assert all(abs(scores[v] - s) < 1e-9 for _, v, s in found)
+        hits += len({f[1] for f in found} & {*np.argsort(-scores)[:20]})
+    assert set(got) == {*range(0, 400, 20)} and hits / 20 / len(got) >= 0.9
+
+
+def test_merge_of_equal_ids():
+    ids, rows = np.repeat([1, 2, 3], [50, 2, 2]), np.repeat([[3.0], [2.0], [1.0]], [50, 2, 2], 0).astype(np.float32)
+    turn = np.eye(1, dtype=np.float32)
+    found = [*vectors.scan(ids, rows, rows @ turn, np.array([0]), np.ones((1, 1), np.float32), np.array([-np.inf]), 3, turn)]
+    assert found[0][1].tolist() == [1, 2, 3] and found[0][2].tolist() == [3, 2, 1]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
