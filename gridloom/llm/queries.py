@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import html_text, licences, lm, mixing, ngram_join, packing, quality_rules, token_files, url_rules, vectors
@@ -18,6 +18,10 @@ def doc_quality(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
 
 
+def quality_weight(good: Column) -> Column:
+    return F.when(good == 1, F.lit(2.0)).when(good == 0, F.lit(0.5)).otherwise(F.lit(1.0))
+
+
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line of a document that names a licence."""
     docs = table(spark, sf_dir, "documents")
@@ -38,8 +42,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     good = doc_quality(table(spark, sf_dir, "labels")).groupBy("id").agg(F.max("good").alias("good"))
     docs = materialize(docs.join(good, docs.doc_id == good.id, "left").select("doc_id", "source", "size", "good"), "sizes")
-    quality = F.when(F.col("good") == 1, F.lit(2.0)).when(F.col("good") == 0, F.lit(0.5)).otherwise(F.lit(1.0))
-    mixed = mixing.mix(docs, F.col("size"), F.col("source"), F.col("doc_id"), quality, SOURCE_WEIGHTS)
+    mixed = mixing.mix(docs, F.col("size"), F.col("source"), F.col("doc_id"), quality_weight(F.col("good")), SOURCE_WEIGHTS)
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
                         F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 

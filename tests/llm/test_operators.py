@@ -1,5 +1,6 @@
 """Each operator on a small table with awkward rows, against brute force, and on an empty one."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -316,6 +317,19 @@ def test_merge_of_equal_ids():
     assert found[0][1].tolist() == [1, 2, 3] and found[0][2].tolist() == [3, 2, 1]
 
 
+def test_pipeline_mixes_by_quality(spark, stored, tmp_path):
+    import corpus_pipeline
+
+    table = stored([(i, "word", "en", "s", 4) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long")
+    good = {i: i % 2 for i in range(90)}
+    spark.createDataFrame([*good.items()], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, table, str(tmp_path)).collect())
+    weight = {i: {1: 2.0, 0: 0.5, None: 1.0}[good.get(i)] for i in range(100)}
+    key = {i: -math.log((int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight[i] for i in weight}
+    twice = set(sorted(key, key=key.get)[:50])
+    assert got == {i: 2 if i in twice else 1 for i in range(100)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
