@@ -76,9 +76,13 @@ class Words:
     """Words of some texts: ``row`` (text of each word), ``length``, ``chars`` (bytes, A-Z lower-cased,
     without white space), ``start`` (of each word in ``chars``), ``first`` (per text: its first word)."""
 
-    def __init__(self, column: pa.Array):
-        data, at = raw(column)
-        inside = ~_IS_SPACE[data]
+    def __init__(self, column: pa.Array, space: np.ndarray = _IS_SPACE, breaks: np.ndarray | None = None):
+        """``space``: per byte, whether it lies outside words; with ``breaks`` (bytes among them), ``broken`` tells whether
+        one lies between a word and the word before it."""
+        self.split(*raw(column), space, breaks)
+
+    def split(self, data: np.ndarray, at: np.ndarray, space: np.ndarray, breaks: np.ndarray | None) -> None:
+        inside = ~space[data]
         opens = np.ones(len(data) + 1, bool)
         opens[1:-1] = ~inside[:-1]
         opens[at] = True
@@ -89,6 +93,9 @@ class Words:
         self.row = np.searchsorted(at, begins, "right") - 1
         self.rows = len(at) - 1
         self.first = np.searchsorted(self.row, np.arange(self.rows + 1))
+        if breaks is not None:
+            met = np.concatenate([[0], np.cumsum(breaks[data])])[begins]
+            self.broken = np.diff(met, prepend=0) > 0
 
     def __len__(self) -> int:
         return len(self.start)

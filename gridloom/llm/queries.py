@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import html_text, licences, lm, mixing, ngram_join, packing, quality_rules, token_files, url_rules, vectors
+from gridloom.llm import collocations, decontamination, html_text, licences, lm, mixing, ngram_join, packing
+from gridloom.llm import quality_rules, spelling, token_files, url_rules, vectors
 from gridloom.llm.common import n_words, table
 from gridloom.llm.tokens import place
 from gridloom.session import materialize, scratch_path
@@ -113,6 +114,75 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), labels, SITE_RULES)
 
 
+def op11_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontamination.judge(docs, table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
+    return judged.select(
+        "doc_id", F.col("leak_words").alias("n_words"), F.col("leak_hit").alias("n_hit"), F.size("leak_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leak_items", ","), 256).alias("items_sha256"), (F.col("leak_hit") > 0).alias("contaminated"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id::VARCHAR AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+g AS (
+  SELECT DISTINCT item, least(10, len(w)) AS m, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS gram
+  FROM i, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(p) WHERE len(w) > 0),
+h AS (
+  SELECT row, p, m, item
+  FROM (SELECT row, m, p, array_to_string(w[p:p + m - 1], ' ') AS gram
+        FROM d, (SELECT DISTINCT m FROM g), unnest(range(1, len(w) - m + 2)) AS u(p)) JOIN g USING (m, gram)),
+n AS (SELECT row, count(DISTINCT q) AS n_hit FROM (SELECT row, unnest(range(p, p + m)) AS q FROM h) GROUP BY row),
+k AS (SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row) LEFT JOIN k USING (row)
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), least=10, share=50, top=2000)
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(t, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+g AS (
+  SELECT lang, w[i:i + k - 1] AS words, count(*)::HUGEINT AS f
+  FROM p, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(w) - k + 2)) AS u(i) GROUP BY 1, 2),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE len(words) = 1 GROUP BY 1),
+c AS (SELECT * FROM g WHERE len(words) > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.words, c.f AS a, k, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM c CROSS JOIN unnest([1, 2]) AS s(k)
+  JOIN g x ON x.lang = c.lang AND x.words = c.words[1:k] JOIN g y ON y.lang = c.lang AND y.words = c.words[k + 1:]
+  WHERE k < len(c.words)),
+least AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+inner_words AS (
+  SELECT lang, words[1:2] AS words, f FROM c WHERE len(words) = 3 UNION ALL SELECT lang, words[2:3], f FROM c WHERE len(words) = 3),
+kept AS (
+  SELECT l.*, array_to_string(l.words, ' ') AS phrase FROM least l
+  WHERE NOT EXISTS (SELECT 1 FROM inner_words i WHERE i.lang = l.lang AND i.words = l.words AND 100 * i.f >= 50 * l.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.count_words(table(spark, sf_dir, "documents"), every=97, shortest=5, least=3)
+    return spelling.group(counted).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_licence_scan": op1_licence_scan,
     "op2_ngram_join": op2_ngram_join,
@@ -124,5 +194,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_main_text": op9_main_text,
     "op10_url_rules": op10_url_rules,
+    "op11_benchmark_overlap": op11_benchmark_overlap,
+    "op12_collocations": op12_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES = {"op4_mix_sources": OP4_SQL}
+ORACLES = {"op4_mix_sources": OP4_SQL, "op11_benchmark_overlap": OP11_SQL, "op12_collocations": OP12_SQL}
