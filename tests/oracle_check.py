@@ -85,7 +85,7 @@ def main():
     from workloads.registry import QUERIES
 
     for name, fn in entry.queries().items():
-        module = QUERIES[name].__module__.rsplit(".", 1)[-1]
+        module = QUERIES.get(name, fn).__module__.rsplit(".", 1)[-1]
         if pick and not any(p in (name, module) or (p.endswith("*") and name.startswith(p[:-1])) for p in pick):
             continue
         t = time.time()
