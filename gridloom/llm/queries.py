@@ -153,28 +153,33 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = r"""
 WITH p AS (
-  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(t, '[^\x20\x09]+') AS w
+  SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
-g AS (
-  SELECT lang, w[i:i + k - 1] AS words, count(*)::HUGEINT AS f
-  FROM p, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(w) - k + 2)) AS u(i) GROUP BY 1, 2),
-n AS (SELECT lang, sum(f) AS n FROM g WHERE len(words) = 1 GROUP BY 1),
-c AS (SELECT * FROM g WHERE len(words) > 1 AND f >= 10),
+o AS (SELECT lang, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM p),
+g1 AS MATERIALIZED (SELECT lang, a, count(*)::HUGEINT AS f FROM o GROUP BY 1, 2),
+g2 AS MATERIALIZED (SELECT lang, a, b, count(*)::HUGEINT AS f FROM o WHERE b IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+g3 AS MATERIALIZED (SELECT lang, a, b, c, count(*)::HUGEINT AS f FROM o WHERE c IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f) AS n FROM g1 GROUP BY 1),
+longer AS (
+  SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM g3 UNION ALL SELECT lang, b, c, f FROM g3) GROUP BY 1, 2, 3),
 cut AS (
-  SELECT c.lang, c.words, c.f AS a, k, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
-  FROM c CROSS JOIN unnest([1, 2]) AS s(k)
-  JOIN g x ON x.lang = c.lang AND x.words = c.words[1:k] JOIN g y ON y.lang = c.lang AND y.words = c.words[k + 1:]
-  WHERE k < len(c.words)),
-least AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
-inner_words AS (
-  SELECT lang, words[1:2] AS words, f FROM c WHERE len(words) = 3 UNION ALL SELECT lang, words[2:3], f FROM c WHERE len(words) = 3),
-kept AS (
-  SELECT l.*, array_to_string(l.words, ' ') AS phrase FROM least l
-  WHERE NOT EXISTS (SELECT 1 FROM inner_words i WHERE i.lang = l.lang AND i.words = l.words AND 100 * i.f >= 50 * l.a)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
-SELECT r.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
-FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+  SELECT g2.lang, g2.a || ' ' || g2.b AS phrase, 1 AS k, g2.f AS a, x.f AS l, y.f AS r
+  FROM g2 JOIN g1 x ON x.lang = g2.lang AND x.a = g2.a JOIN g1 y ON y.lang = g2.lang AND y.a = g2.b
+  LEFT JOIN longer e ON e.lang = g2.lang AND e.a = g2.a AND e.b = g2.b
+  WHERE 100 * coalesce(e.f, 0) < 50 * g2.f
+  UNION ALL
+  SELECT g3.lang, g3.a || ' ' || g3.b || ' ' || g3.c, 1, g3.f, x.f, y.f
+  FROM g3 JOIN g1 x ON x.lang = g3.lang AND x.a = g3.a JOIN g2 y ON y.lang = g3.lang AND y.a = g3.b AND y.b = g3.c
+  UNION ALL
+  SELECT g3.lang, g3.a || ' ' || g3.b || ' ' || g3.c, 2, g3.f, x.f, y.f
+  FROM g3 JOIN g2 x ON x.lang = g3.lang AND x.a = g3.a AND x.b = g3.b JOIN g1 y ON y.lang = g3.lang AND y.a = g3.c),
+scored AS (
+  SELECT *, (1000000 * a * a) // (l * r) AS score FROM cut
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000000 * a * a) // (l * r), k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored)
+SELECT s.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked s JOIN n ON n.lang = s.lang WHERE rank <= 2000
 """
 
 
