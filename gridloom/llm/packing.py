@@ -173,6 +173,7 @@ def pack(
         pool.add(fresh)
         while len(pool):
             place()
+        encoder.rest()
         if rows:
             yield out()
 

@@ -7,7 +7,6 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
 from types import ModuleType
 from unicodedata import is_normalized
 
@@ -24,9 +23,9 @@ WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f",
 RUNS = (b"  ", b"\n ", b"\t ", b"\x0b ", b"\x0c ", b"\r ")
 #: Marks that both kinds of tokenizer cut off after a letter.
 MARKS = b".,!?;:#$%&*|"
-#: Pieces remembered with their ids, twice: when the younger memory is full it becomes the older one, and pieces that are
-#: met again move back, so frequent pieces stay.
-MOST_PIECES = 350_000
+#: Bytes of pieces remembered with their ids, about, twice: when the younger memory is full it becomes the older one, and
+#: pieces that are met again move back, so frequent pieces stay. What a piece takes besides itself and its ids: PIECE_BYTES.
+MOST_BYTES, PIECE_BYTES = 32_000_000, 260
 #: Longer pieces are encoded each time.
 LONG_PIECE = 48
 
@@ -65,6 +64,7 @@ class Encoder(dict):
         self.end = np.array([end], "<u4").tobytes()
         self.folds = folds
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -82,9 +82,11 @@ class Encoder(dict):
                 name = self._one_word(piece)
                 ids = self.whole(piece.decode()) if name is None else array("I", [t.id for t in self.merge(name)]).tobytes()
         if len(piece) <= LONG_PIECE:
-            if len(self) >= MOST_PIECES:
+            if self.held >= MOST_BYTES:
                 self.older = dict(self)
                 self.clear()
+                self.held = 0
+            self.held += len(piece) + len(ids) + PIECE_BYTES
             self[piece] = ids
         return ids
 
@@ -114,6 +116,11 @@ class Encoder(dict):
         return np.frombuffer(b"".join([*map(self.__getitem__, pieces), self.end]), "<u4")
 
 
+    def rest(self) -> None:
+        """At the end of a task: the worker may run other work next, so only the younger memory stays."""
+        self.older.clear()
+
+
 def task_encoder(path: str, end: int, folds: bool) -> Encoder:
     """One encoder per worker process, kept between its tasks."""
     held = sys.modules.setdefault("gridloom_task_memory", ModuleType("gridloom_task_memory")).__dict__
@@ -124,10 +131,4 @@ def task_encoder(path: str, end: int, folds: bool) -> Encoder:
 
 
 def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
-
-
-def texts_of(batches: Iterator, column: str) -> Iterator:
-    """(batch, texts) of Arrow batches."""
-    for batch in batches:
-        yield batch, batch.column(column).to_pylist()
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
