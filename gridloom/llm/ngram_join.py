@@ -246,11 +246,12 @@ def block_links(rows: pa.Table, percent: int) -> pa.Table:
     side = np.asarray(rows.column("side"))
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
     classes, weight = np.asarray(rows.column("class")), np.asarray(rows.column("copies"))
-    others = [{x for x in l if x < leader} for l in rows.column("leaders").to_pylist()]
-    elsewhere = sorted(set().union(*others))
-    earlier = np.zeros((len(sets), len(elsewhere)), bool)
-    for k, x in enumerate(elsewhere):
-        earlier[:, k] = [x in o for o in others]
+    # lesser leaders that a set names, as numbers; a pair that shares one counts there
+    others = [[x for x in l if x < leader] for l in rows.column("leaders").to_pylist()]
+    count = np.array([*map(len, others)])
+    begin = np.cumsum(count) - count
+    elsewhere, named = np.unique(np.array([x for l in others for x in l], np.int64), return_inverse=True)
+    mine = np.zeros(len(elsewhere), bool)
     twofold = bool((side == 1).any() and (side == 0).any())
     at_a = np.flatnonzero(side == 0) if twofold else np.arange(len(sets))
     at_b = np.flatnonzero(side == 1) if twofold else at_a
@@ -259,8 +260,14 @@ def block_links(rows: pa.Table, percent: int) -> pa.Table:
     for i, js, _ in trie_join([sets[x] for x in at_a], [sets[x] for x in at_b], percent):
         me, them = at_a[i], at_b[js]
         them = them[them != me]
-        if len(elsewhere):
-            them = them[~(earlier[them] & earlier[me]).any(1)]
+        if count[me] and len(them):
+            own = named[begin[me] : begin[me] + count[me]]
+            mine[own] = True
+            n = count[them]
+            at = np.repeat(begin[them] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            shared = np.bincount(np.repeat(np.arange(len(them)), n), weights=mine[named[at]], minlength=len(them))
+            them = them[shared == 0]
+            mine[own] = False
         if not len(them):
             continue
         links[me] += weight[them].sum()
