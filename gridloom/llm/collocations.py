@@ -28,10 +28,10 @@ from pyspark.sql.window import Window
 from gridloom.llm.common import Words, mix, text_steps
 from gridloom.session import materialize
 
-#: Bytes of text that are counted at once; a longer document is counted by itself.
-RUN_BYTES = 8_000_000
+#: Bytes of text behind one sorted stream; a longer document has its own.
+RUN_BYTES = 6_000_000
 #: Entries of all streams that one merging task takes, about.
-RANGE_ENTRIES = 1_500_000
+RANGE_ENTRIES = 800_000
 #: Texts, and of each so many characters, behind the bounds of the ranges; the bounds decide only where counts are summed.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 
@@ -137,7 +137,7 @@ def word_table(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in text_steps(batch.column("t"), RUN_BYTES):
+            for lo, hi in text_steps(batch.column("t")):
                 lang = batch.column("lang").slice(lo, hi - lo)
                 w, numbers, _ = word_numbers(batch.column("t").slice(lo, hi - lo), lang)
                 ids, first, n = np.unique(numbers, return_index=True, return_counts=True)
@@ -173,7 +173,11 @@ def count_streams(texts: DataFrame, entries: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in text_steps(batch.column("t"), RUN_BYTES):
-                _, numbers, last = word_numbers(batch.column("t").slice(lo, hi - lo), batch.column("lang").slice(lo, hi - lo))
+                # words are found in small steps, of which only the numbers stay
+                text, lang = batch.column("t").slice(lo, hi - lo), batch.column("lang").slice(lo, hi - lo)
+                steps = [word_numbers(text.slice(x, y - x), lang.slice(x, y - x))[1:] for x, y in text_steps(text)]
+                numbers, last = (np.concatenate(x) for x in zip(*steps, strict=True))
+                del steps
                 a, b, c = triples(numbers, last)
                 longer = b > 0
                 (a, b, c), n = summed((a[longer], b[longer], c[longer]), np.ones(int(longer.sum()), np.int64))
