@@ -20,18 +20,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import mix
 from gridloom.session import materialize
 
-#: Ids, first by hash, with a row each, on which centres, probes and first thresholds are fitted.
-SAMPLE_ROWS = 8_192
-#: Rows per list aimed at, and bounds on the number of lists.
-LIST_ROWS, FEWEST_LISTS, MOST_LISTS = 1_024, 8, 1_024
+#: Ids, first by hash, with a row each, on which centres are fitted: so many, or SAMPLE_PER_LIST for each list up to the
+#: greater bound. Probes and first thresholds are fitted on SAMPLE_ROWS of them.
+SAMPLE_ROWS, SAMPLE_PER_LIST, MOST_SAMPLE = 8_192, 8, 131_072
+#: Lists are as many as the root of the rows, at least.
+FEWEST_LISTS = 8
 #: Rows and queries that one task holds at most, about.
 PART_ROWS, PART_QUERIES = 8_192, 4_096
 TARGET = 0.97
 EPSILON = 2.1
 BLOCK = 16
-CHUNK = 512
+#: Queries and rows that are scanned together, and the share of pairs left at which they are scanned one by one.
+QUERIES, CHUNK, FEW_LEFT = 128, 2_048, 0.2
 
 
 def taking_part(v: Column) -> Column:
@@ -70,83 +73,119 @@ def probes_for(sample: np.ndarray, centres: np.ndarray, top: int, queries: int =
     return int(np.quantile(ranks, TARGET, method="higher")) + 1
 
 
-def merged(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
-    """Places of the best row of each of the ``top`` best ids."""
-    order = np.lexsort((ids, -scores))
-    first = np.sort(np.unique(ids[order], return_index=True)[1])
-    return order[first[:top]]
+def best_of_each(asks: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
+    """Places of each query's ``top`` best ids, by the best row of each, best first; queries ascending."""
+    order = np.lexsort((-scores, ids, asks))
+    first = np.ones(len(order), bool)
+    first[1:] = (asks[order][1:] != asks[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[first]
+    order = order[np.lexsort((ids[order], -scores[order], asks[order]))]
+    begin = np.searchsorted(asks[order], asks[order], "left")
+    return order[np.arange(len(order)) - begin < top]
 
 
-def scan(ids: np.ndarray, rows: np.ndarray, turned: np.ndarray, asks: np.ndarray, vectors: np.ndarray, floors: np.ndarray, top: int, rotation: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: (its number, ids, exact scores) of the best rows of this list part."""
+def scan(
+    ids: np.ndarray, rows: np.ndarray, turned: np.ndarray, asks: np.ndarray, vectors: np.ndarray, floors: np.ndarray, top: int,
+    rotation: np.ndarray, scale: float = 1.0,
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query: (its number, ids, exact scores) of the best rows of this list part.
+
+    ``turned`` holds the rows divided by ``scale`` and rotated, in single precision; ``floors`` scores that each query's
+    last place reaches for sure, divided by its square. Queries are scanned together: block by block as matrix products while many candidates
+    are left, and pair by pair once few are.
+    """
     dims = rows.shape[1]
-    norms = np.einsum("ij,ij->i", turned, turned)
     cuts = [*range(BLOCK, dims, BLOCK), dims]
-    for n, (own, q) in enumerate(zip(asks, vectors, strict=True)):
-        p = q @ rotation
-        pp = float(p @ p)
-        kept_ids, kept = np.zeros(0, np.int64), np.zeros(0)
-        level = floors[n]
+    norms = np.einsum("ij,ij->i", turned, turned)
+    by_block = [np.einsum("ij,ij->i", turned[:, x:y], turned[:, x:y]) for x, y in zip([0, *cuts], cuts, strict=False)]
+    for first in range(0, len(asks), QUERIES):
+        some = slice(first, min(first + QUERIES, len(asks)))
+        own, q = asks[some], vectors[some]
+        p = (q / scale).astype(np.float32) @ rotation
+        pp = np.einsum("ij,ij->i", p, p)
+        level = floors[some].copy()
+        kept_asks, kept_ids, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for lo in range(0, len(rows), CHUNK):
-            at = np.arange(lo, min(lo + CHUNK, len(rows)))
-            part = np.zeros(len(at))
+            here = slice(lo, min(lo + CHUNK, len(rows)))
+            most = np.maximum(pp[:, None] + norms[here][None, :] - 2 * level[:, None], 0)
+            left = own[:, None] != ids[here][None, :]
+            part = np.zeros(left.shape, np.float32)
+            at: tuple | None = None  # pairs left, once they are few
             seen = 0
-            for hi in cuts:
-                gap = turned[at, seen:hi] - p[seen:hi]
-                part = part + np.einsum("ij,ij->i", gap, gap)
+            for k, hi in enumerate(cuts):
+                if at is None:
+                    part += np.einsum("ij,ij->i", p[:, seen:hi], p[:, seen:hi])[:, None] + by_block[k][here][None, :]
+                    part -= 2 * (p[:, seen:hi] @ turned[here, seen:hi].T)
+                else:
+                    gap = turned[at[1], seen:hi] - p[at[0], seen:hi]
+                    part = part + np.einsum("ij,ij->i", gap, gap)
                 seen = hi
-                most = np.maximum(pp + norms[at] - 2 * level, 0) + 1e-5  # rotated in single precision
                 slack = 1 + EPSILON / np.sqrt(seen) if seen < dims else 1.0
-                ok = part * (dims / seen) <= most * slack * slack
-                if not ok.all():
-                    at, part = at[ok], part[ok]
-                if not len(at):
+                # what is rotated in single precision may be off by this much; it lets candidates pass, never drops one
+                ok = part * (dims / seen) <= most * slack * slack + 2e-5 * dims / seen
+                if at is not None:
+                    at, part, most = (at[0][ok], at[1][ok]), part[ok], most[ok]
+                else:
+                    left &= ok
+                    if seen == dims or left.mean() < FEW_LEFT:
+                        x, y = np.nonzero(left)
+                        at, part, most = (x, y + lo), part[left], most[left]
+                if at is not None and not len(at[0]):
                     break
-            at = at[ids[at] != own]
-            if len(at):
-                kept_ids = np.append(kept_ids, ids[at])
-                kept = np.append(kept, (rows[at].astype(np.float64) * q.astype(np.float64)).sum(1))
-                if len(kept) >= top:
-                    best = merged(kept_ids, kept, top)
-                    kept_ids, kept = kept_ids[best], kept[best]
-                if len(kept) == top:
-                    level = max(level, float(kept.min()))
-        if len(kept):
-            yield n, kept_ids, kept
+            if not len(at[0]):
+                continue
+            kept_asks, kept_ids = np.append(kept_asks, at[0]), np.append(kept_ids, ids[at[1]])
+            kept = np.append(kept, np.einsum("ij,ij->i", rows[at[1]].astype(np.float64), q[at[0]].astype(np.float64)))
+            best = best_of_each(kept_asks, kept_ids, kept, top)
+            kept_asks, kept_ids, kept = kept_asks[best], kept_ids[best], kept[best]
+            last = np.flatnonzero(np.arange(len(kept)) - np.searchsorted(kept_asks, kept_asks, "left") == top - 1)
+            level[kept_asks[last]] = np.maximum(level[kept_asks[last]], kept[last] / scale / scale)
+        for n in np.unique(kept_asks):
+            mine = kept_asks == n
+            yield first + int(n), kept_ids[mine], kept[mine]
 
 
 def search(vectors: DataFrame, asks: Column, top: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``top`` nearest rows of every row for which ``asks`` holds: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
+    kind = "float" if vectors.select(F.col(vector)[0]).schema[0].dataType.simpleString() == "float" else "double"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & taking_part(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    greatest = F.max(F.array_max(F.transform("v", F.abs))).cast("double").alias("top")
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), greatest).orderBy(F.desc("n"), F.desc("d")).first()
     if sizes is None:
         return empty
     dims, total = sizes.d, sizes.n
+    scale = float(sizes.top * np.sqrt(dims))  # no vector is longer
+    lists = max(FEWEST_LISTS, int(np.sqrt(total)))
     rows = rows.where(F.size("v") == dims)
     # one row of each id: copies would take the places of other ids, in the sample and among the first 20
-    some = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    some = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE_ROWS, min(MOST_SAMPLE, SAMPLE_PER_LIST * lists)))
     drawn = rows.select("id", "v").join(some, "id").groupBy("id").agg(F.max("v").alias("v")).orderBy(F.xxhash64("id"), "id").collect()
-    sample = np.array([r.v for r in drawn], np.float32)
-    sample_ids = np.array([r.id for r in drawn], np.int64)
-    k = max(1, min(len(sample), MOST_LISTS, max(FEWEST_LISTS, total // LIST_ROWS)))
-    centres = centres_of(sample, k)
+    whole_sample = (np.array([r.v for r in drawn], np.float64) / scale).astype(np.float32)
+    k = max(1, min(lists, len(drawn) if len(drawn) <= SAMPLE_ROWS else len(drawn) // SAMPLE_PER_LIST))
+    centres = centres_of(whole_sample, k)
+    sample, sample_ids = whole_sample[:SAMPLE_ROWS], np.array([r.id for r in drawn[:SAMPLE_ROWS]], np.int64)
     probes = probes_for(sample, centres, top)
     rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((dims, dims)))[0].astype(np.float32)
-    shared = spark.sparkContext.broadcast((centres, sample, sample_ids))  # bounded by SAMPLE_ROWS
+    shared = spark.sparkContext.broadcast((centres, sample, sample_ids))  # bounded by MOST_SAMPLE
+
+    exact_sample = spark.sparkContext.broadcast(np.array([r.v for r in drawn[:SAMPLE_ROWS]], np.float64))
 
     def matrix(column: pa.Array) -> np.ndarray:
-        return np.asarray(column.flatten(), np.float32).reshape(-1, dims)
+        return np.asarray(column.flatten()).reshape(-1, dims)
+
+    def small(x: np.ndarray) -> np.ndarray:
+        return (x / scale).astype(np.float32)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = shared.value[0]
         for batch in batches:
-            x = matrix(batch.column("v"))
+            x = small(matrix(batch.column("v")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((x @ centre.T).argmax(1), pa.int32())], names=["id", "v", "asks", "list"])
 
-    indexed = materialize(rows.mapInArrow(assign, "id long, v array<float>, asks boolean, list int"), "index")
+    indexed = materialize(rows.mapInArrow(assign, f"id long, v array<{kind}>, asks boolean, list int"), "index")
     counts = {r.list: r.n for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most k
     parts = np.array([max(1, -(-counts.get(i, 0) // PART_ROWS)) for i in range(k)])
     questions = indexed.where("asks").groupBy("id").agg(F.max("v").alias("v"))
@@ -157,31 +196,32 @@ def search(vectors: DataFrame, asks: Column, top: int = 20, key: str = "vec_id",
         for whole in batches:
             for lo in range(0, len(whole), 1024):
                 batch = whole.slice(lo, 1024)
-                q, own = matrix(batch.column("v")), np.asarray(batch.column("id"))
+                q, own = small(matrix(batch.column("v"))), np.asarray(batch.column("id"))
                 scores = q @ some.T
                 scores[own[:, None] == some_ids[None, :]] = -np.inf
                 # a score that the 20th best reaches for sure, a little lower for rounding
-                floor = np.partition(scores, -top, axis=1)[:, -top] - 1e-5 if len(some) >= top else np.full(len(q), -np.inf)
+                floor = np.partition(scores, -top, axis=1)[:, -top].astype(np.float64) - 1e-5 if len(some) >= top else np.full(len(q), -np.inf)
                 near = np.argsort(-(q @ centre.T), axis=1)[:, :probes]
                 at = np.repeat(np.arange(len(q)), parts[near].sum(1))
                 lists = np.repeat(near.reshape(-1), parts[near].reshape(-1))
                 part = np.concatenate([np.arange(n) for n in parts[near].reshape(-1)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(floor[at].astype(np.float64)), pa.array(lists, pa.int32()), pa.array(part, pa.int32()), pa.array(own[at] // 20 % blocks, pa.int32())],
+                    [batch.column("id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(floor[at].astype(np.float64)), pa.array(lists, pa.int32()), pa.array(part, pa.int32()), pa.array((mix(own[at].view(np.uint64)) % np.uint64(blocks)).astype(np.int32))],
                     names=["id", "v", "floor", "list", "part", "block"],
                 )
 
     def ask_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best sample rows: so a query whose lists hold too few rows, or lose one to the test, still gets ``top``."""
         _, some, some_ids = shared.value
+        some_rows = exact_sample.value
         for whole in batches:
             for lo in range(0, len(whole), 1024):
                 batch = whole.slice(lo, 1024)
                 q, own = matrix(batch.column("v")), np.asarray(batch.column("id"))
-                scores = q @ some.T
+                scores = small(q) @ some.T
                 scores[own[:, None] == some_ids[None, :]] = -np.inf
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-                exact = (some[best].astype(np.float64) * q.astype(np.float64)[:, None, :]).sum(2)
+                exact = (some_rows[best] * q.astype(np.float64)[:, None, :]).sum(2)
                 real = np.isfinite(np.take_along_axis(scores, best, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, best.shape[1])[real.reshape(-1)]), pa.array(some_ids[best][real]), pa.array(exact[real])], names=["query_id", "vec_id", "score"])
 
@@ -191,7 +231,7 @@ def search(vectors: DataFrame, asks: Column, top: int = 20, key: str = "vec_id",
             x = matrix(rows_of.column("v").combine_chunks())
             q = matrix(asks_of.column("v").combine_chunks())
             own = np.asarray(asks_of.column("id"))
-            for n, near, scores in scan(np.asarray(rows_of.column("id")), x, x @ rotation, own, q, np.asarray(asks_of.column("floor")), top, rotation):
+            for n, near, scores in scan(np.asarray(rows_of.column("id")), x, small(x) @ rotation, own, q, np.asarray(asks_of.column("floor")), top, rotation, scale):
                 found["query_id"].append(np.full(len(near), own[n]))
                 found["vec_id"].append(near)
                 found["score"].append(scores)
@@ -204,8 +244,8 @@ def search(vectors: DataFrame, asks: Column, top: int = 20, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(exact)], names=["query_id", "vec_id", "score"])
 
     salt = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1)
-    base = indexed.select("id", "v", "list", F.pmod(F.xxhash64("id"), salt).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    wanted = questions.mapInArrow(ask, "id long, v array<float>, floor double, list int, part int, block int")
+    base = indexed.select("id", "v", "list", F.pmod(F.xxhash64(F.monotonically_increasing_id()), salt).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    wanted = questions.mapInArrow(ask, f"id long, v array<{kind}>, floor double, list int, part int, block int")
     keys = ["list", "part", "block"]
     hits = wanted.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(lambda a, b: within(b, a), "query_id long, vec_id long, score double")
     hits = hits.unionByName(questions.mapInArrow(ask_sample, "query_id long, vec_id long, score double"))
