@@ -6,11 +6,13 @@ obj), one row per object, so a process with very many objects never becomes one
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import ref_key, ref_type, split_object_list, table_of
-from gridloom.operators.reach import Edges, edge_rows, reach, reach_from_each, reverse
+from gridloom.operators.reach import Edges, Steps, edge_rows, edges_between, reach, reach_from_each, reverse
 from gridloom.session import materialize
 
 
@@ -49,13 +51,13 @@ def io_by_type(process_input: DataFrame, process_output: DataFrame) -> DataFrame
 
 
 def linked_up_to(rows: DataFrame, vertex: str, start: DataFrame, edges: Edges) -> DataFrame:
-    """Rows reachable downstream from ``start(vertex)`` in 1..100 edges."""
+    """Rows reachable downstream from ``start(vertex)`` along edges."""
     found = reach(start, edges).select(F.col("vertex").alias(vertex))
     return rows.join(found, vertex, "left_semi")
 
 
 def linked_down_to(rows: DataFrame, vertex: str, start: DataFrame, edges: Edges) -> DataFrame:
-    """Rows upstream of ``start(vertex)`` in 1..100 edges."""
+    """Rows upstream of ``start(vertex)``."""
     return linked_up_to(rows, vertex, start, reverse(edges))
 
 
@@ -134,22 +136,75 @@ def immediate_parent(
     return rows.join(made, vertex, "left_semi")
 
 
-def upstream_props(objects: DataFrame, edges: Edges, values: DataFrame) -> DataFrame:
-    """For each of ``objects(obj)`` and each property, the nearest upstream value.
+def upstream_graph(objects: DataFrame, edges: Edges) -> DataFrame:
+    """All edges upstream of any of ``objects(obj)``: src, dst.
 
-    ``values(vertex, prop, value)`` holds the properties of possible upstream objects. Ties on
-    distance go to the smallest vertex: obj, prop, source, hops, value.
+    This holds every object's intermediates once, however many objects share them; ``intermediates`` lists them for
+    chosen objects.
     """
+    start = objects.select(F.col("obj").alias("vertex")).distinct()
+    back = reverse(edges)
+    seen = reach(start, back, include_start=True).select(F.col("vertex").alias("dst"))
+    return materialize(edge_rows(edges).join(seen, "dst", "left_semi").select("src", "dst").distinct(), "upstream")
+
+
+def intermediates(objects: DataFrame, graph: DataFrame) -> DataFrame:
+    """For each of ``objects(obj)`` every object upstream of it: obj, vertex, hops. As many rows as there are pairs."""
     start = objects.select(F.col("obj").alias("root"), F.col("obj").alias("vertex"))
-    found = reach_from_each(start, reverse(edges)).join(values, "vertex")
-    nearest = F.min(F.struct("hops", "vertex", "value")).alias("best")
-    return found.groupBy("root", "prop").agg(nearest).select(
-        F.col("root").alias("obj"),
-        "prop",
-        F.col("best.vertex").alias("source"),
-        F.col("best.hops").alias("hops"),
-        F.col("best.value").alias("value"),
-    )
+    found = reach_from_each(start, reverse(graph)).filter(~F.col("vertex").startswith("Process:"))
+    return found.select(F.col("root").alias("obj"), "vertex", "hops")
+
+
+def nearest_sources(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """For every vertex below any of ``sources(vertex, label)`` and each label the nearest source: vertex, label, hops,
+    source. Ties on distance go to the smallest source.
+
+    The least (hops, source) goes down one edge at a time from all sources at once, so there is one row per vertex and
+    label, not one per source and vertex. A source passes on itself; what comes to it from above is its own result
+    only.
+    """
+    spark = sources.sparkSession
+    first = materialize(sources.select("vertex", "label").filter(F.col("vertex").isNotNull()).distinct(), "sources")
+    steps = Steps(first.withColumn("source", F.col("vertex")), "nearest")
+    frontier, ends = steps.store(first.withColumn("source", F.col("vertex")), 0, keep=False)
+    for hops in itertools.count(1):
+        if ends is None:
+            break
+        near = edges_between(edges, ends)
+        step = frontier.join(near, frontier["vertex"] == near["src"]).filter(F.col("dst").isNotNull())
+        step = step.groupBy(F.col("dst").alias("vertex"), "label").agg(F.min("source").alias("source"))
+        if steps.kept:
+            step = step.join(steps.found().select("vertex", "label"), ["vertex", "label"], "left_anti")
+        reached, ends = steps.store(step, hops)
+        frontier = reached.join(first, ["vertex", "label"], "left_anti")
+    if not steps.kept:
+        return spark.createDataFrame([], steps.schema)
+    return steps.found().select("vertex", "label", "hops", "source")
+
+
+def upstream_props(objects: DataFrame, edges: Edges, values: DataFrame, together: bool = False) -> DataFrame:
+    """For each of ``objects(obj)`` and each property, the nearest upstream value.
+
+    ``values(vertex, prop, value)`` holds the properties of possible upstream objects; of several values of one vertex
+    the least counts. Ties on distance go to the smallest vertex: obj, prop, source, hops, value. With ``together`` all
+    properties come from one vertex, which has all of them.
+    """
+    values = values.filter(F.col("value").isNotNull()).groupBy("vertex", "prop").agg(F.min("value").alias("value"))
+    if together:
+        wanted = values.agg(F.count_distinct("prop").alias("wanted"))
+        full = values.groupBy("vertex").agg(F.count("*").alias("n")).join(wanted, F.col("n") == F.col("wanted"))
+        sources = full.select("vertex", F.lit("").alias("label"))
+    else:
+        sources = values.select("vertex", F.col("prop").alias("label"))
+    graph = upstream_graph(objects, edges)
+    sources = sources.join(graph.select(F.col("src").alias("vertex")), "vertex", "left_semi")
+    found = nearest_sources(sources, graph).join(objects.select(F.col("obj").alias("vertex")), "vertex", "left_semi")
+    own = values.select(F.col("vertex").alias("source"), "prop", "value")
+    if together:
+        found = found.drop("label").join(own, "source")
+    else:
+        found = found.withColumnRenamed("label", "prop").join(own, ["source", "prop"])
+    return found.select(F.col("vertex").alias("obj"), "prop", "source", "hops", "value")
 
 
 def lookup_last(df: DataFrame, key: str, pk: str) -> DataFrame:

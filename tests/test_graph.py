@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import reach as rc
 from gridloom.operators.lineage import coassembled, provenance_tree
-from gridloom.operators.links import linked_with_props, search_all, upstream_props
+from gridloom.operators.links import intermediates, linked_with_props, nearest_sources, search_all, upstream_graph, upstream_props
 from gridloom.operators.ontology import microtype_tree
 from gridloom.operators.type_graph import components
 
@@ -127,10 +128,64 @@ def test_microtype_tree_orders_each_term_once(spark):
     assert [(r["term_id"], r["depth"]) for r in out] == [("r", 0), ("a", 1), ("x", 2), ("b", 1)]
 
 
-def test_stored_edges_give_the_same_walks(spark, monkeypatch):
+def test_stored_edges_give_the_same_walks(spark):
     plain = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("x", "y"))
     stored = rc.EdgeTable.store(plain)
-    for limit in (1000, 1, 0):
-        monkeypatch.setattr(rc, "SMALL_FRONTIER", limit)
-        assert found(rc.reach(start(spark, "a"), stored)) == found(rc.reach(start(spark, "a"), plain))
-        assert found(rc.reach(start(spark, "d"), rc.reverse(stored))) == {("b", 1), ("a", 2), ("c", 3)}
+    assert found(rc.reach(start(spark, "a"), stored)) == found(rc.reach(start(spark, "a"), plain))
+    assert found(rc.reach(start(spark, "d"), rc.reverse(stored))) == {("b", 1), ("a", 2), ("c", 3)}
+
+
+def test_walks_end_only_where_the_edges_end(spark):
+    chain = edges(spark, *[(f"v{i:03d}", f"v{i + 1:03d}") for i in range(104)], (None, "v000"), ("v003", None))
+    assert found(rc.reach(start(spark, "v000", None), chain)) == {(f"v{i:03d}", i) for i in range(1, 105)}
+
+
+def nearest(edges, values, objects):
+    """Walks back from each object by itself."""
+    out = set()
+    for obj in objects:
+        level, seen, done, hops = {obj}, set(), set(), 0
+        while level:
+            level = {a for a, b in edges if b in level} - seen
+            seen |= level
+            hops += 1
+            for p in {p for v, p, _ in values if v in level} - done:
+                source = min(v for v, q, _ in values if v in level and q == p)
+                out.add((obj, p, source, hops, min(x for v, q, x in values if v == source and q == p)))
+                done.add(p)
+    return out
+
+
+def test_nearest_values_on_generated_graphs(spark):
+    import random
+
+    rng = random.Random(6)
+    for n in (6, 12):
+        names = [f"n{i:02d}" for i in range(n)]
+        pairs = {(rng.choice(names), rng.choice(names)) for _ in range(2 * n)}
+        values = [(rng.choice(names), p, f"{rng.randrange(9)}") for p in "kkm" for _ in range(2)]
+        objects = rng.sample(names, n // 2)
+        table = spark.createDataFrame(values + [("n00", "q", None)], "vertex string, prop string, value string")
+        got = upstream_props(spark.createDataFrame([(o,) for o in objects], "obj string"), edges(spark, *pairs), table)
+        assert {tuple(r) for r in got.collect()} == nearest(pairs, values, objects)
+
+
+def test_values_of_one_vertex_together(spark):
+    e = edges(spark, ("a", "p"), ("p", "x"), ("b", "q"), ("q", "a"))
+    values = spark.createDataFrame([("a", "k", "1"), ("b", "k", "2"), ("b", "m", "3")], "vertex string, prop string, value string")
+    objects = spark.createDataFrame([("x",), ("none",)], "obj string")
+    assert {tuple(r) for r in upstream_props(objects, e, values, together=True).collect()} == {("x", "k", "b", 4, "2"), ("x", "m", "b", 4, "3")}
+
+
+def test_a_hub_is_one_row_per_property(spark):
+    """Many objects below one process of many inputs: no row per pair of them."""
+    pairs = [(f"in{i:03d}", "hub") for i in range(200)] + [("hub", f"out{i:03d}") for i in range(200)]
+    values = spark.createDataFrame([(f"in{i:03d}", "k", str(i)) for i in range(200)], "vertex string, prop string, value string")
+    sources = values.select("vertex", F.col("prop").alias("label"))
+    found = nearest_sources(sources, edges(spark, *pairs))
+    assert found.count() == 201 and {r.source for r in found.collect()} == {"in000"}
+    objects = spark.createDataFrame([(f"out{i:03d}",) for i in range(200)], "obj string")
+    graph = upstream_graph(objects, edges(spark, *pairs, ("out000", "beyond")))
+    assert graph.count() == 400
+    assert {tuple(r) for r in intermediates(objects.limit(1), graph).select("hops").distinct().collect()} == {(1,), (2,)}
+    assert upstream_props(objects, edges(spark, *pairs), values).count() == 200

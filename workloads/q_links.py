@@ -228,6 +228,49 @@ def upstream_props(t):
     return out.withColumn("hops", F.col("hops").cast("bigint"))
 
 
+UPSTREAM_SQL = with_(
+    EDGES,
+    """up(vertex) AS (
+      SELECT obj FROM pout WHERE obj_type LIKE 'Brick-%' OR obj_type = 'Part'
+      UNION SELECT src FROM up JOIN edge ON dst = vertex)""",
+    recursive=True,
+)
+
+
+@query("upstream_intermediates", UPSTREAM_SQL + "SELECT DISTINCT src, dst FROM edge WHERE dst IN (SELECT vertex FROM up)")
+def upstream_intermediates(t):
+    """What lies above any array or part, each edge once."""
+    objects = t.process_output.filter("obj_type LIKE 'Brick-%' OR obj_type = 'Part'").select("obj")
+    return links.upstream_graph(objects, t.edges)
+
+
+@query(
+    "upstream_props_together",
+    """SELECT format('Customer:Customer{:07d}', c_custkey) AS obj, unnest(['name', 'region']) AS prop,
+         format('Nation:Nation{:07d}', n_nationkey) AS source, 2::BIGINT AS hops,
+         unnest([n_name, format('Region{:07d}', n_regionkey)]) AS value
+       FROM customer JOIN nation ON n_nationkey = c_nationkey
+       UNION ALL
+       SELECT DISTINCT format('Part:Part{:07d}', part), p, format('Nation:Nation{:07d}', n_nationkey), 4, CASE p WHEN 'name' THEN n_name ELSE format('Region{:07d}', n_regionkey) END
+       FROM (SELECT lineitem.l_partkey AS part, min(least(c_nationkey, s_nationkey)) AS n_nationkey
+             FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+             JOIN lineitem l2 USING (l_orderkey) JOIN supplier ON s_suppkey = l2.l_suppkey GROUP BY 1)
+       JOIN nation USING (n_nationkey), unnest(['name', 'region']) AS u(p)""",
+)
+def upstream_props_together(t):
+    """Name and region of the nearest upstream object that has both, of every customer and part; suppliers have a name only."""
+    objects = t.process_output.filter(F.col("obj_type").isin("Customer", "Part")).select("obj")
+    ws = t.workspace
+    sup, nat = ws.types["Supplier"].df, ws.types["Nation"].df
+
+    def value(df, name):
+        return df.select("vertex", F.lit(name).alias("prop"), F.col(name).alias("value"))
+
+    values = value(sup, "name").unionByName(value(nat, "name")).unionByName(value(nat, "region"))
+    out = links.upstream_props(objects, t.edges, values, together=True)
+    return out.withColumn("hops", F.col("hops").cast("bigint"))
+
+
 @query(
     "upk_to_pk",
     """WITH want AS (SELECT p_name AS user_key FROM part UNION SELECT c_name FROM customer),
