@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, raw, text_steps
+from gridloom.llm.common import Words, mix, raw, text_steps
 from gridloom.llm.ngram_join import block_pairs
 from gridloom.session import materialize
 
@@ -32,8 +32,8 @@ from gridloom.session import materialize
 SHORTEST_GRAM, LONGEST_GRAM = 2, 8
 #: Grams of one length in the dictionary at most.
 MOST_GRAMS = 200_000
-#: Words of one block at most, about, and bytes of words compared in one step.
-BLOCK_WORDS, STEP_CHARS = 4_096, 16_000_000
+#: Words of one block at most, about; pairs looked at, and characters compared, in one step.
+BLOCK_WORDS, STEP_PAIRS, STEP_CHARS = 4_096, 500_000, 4_000_000
 #: Characters up to which checksums of words are worked out side by side.
 LONG_WORD = 40
 
@@ -154,16 +154,26 @@ class Decomposition:
             most = max(most, at)
         return max(most, self.open) if grows else most
 
-    def rarest(self, n: int) -> list[int]:
-        grams = [(self.known.get(self.word[i:e], 0), self.word[i:e], i) for i, e in enumerate(self.ends)]
-        return [i for _, _, i in sorted(grams)[:n]]
+    def marks(self) -> np.ndarray:
+        """A number for each gram that also orders it: rarely met grams first, then by checksum. Equal grams have equal
+        numbers; that different ones may share one costs comparisons only."""
+        out = []
+        for i, e in enumerate(self.ends):
+            gram = self.word[i:e]
+            often = min(31, self.known.get(gram, 0).bit_length())
+            out.append(often << 27 | zlib.crc32(gram.encode("latin-1")) >> 5)
+        return np.array(out, np.uint32) | np.uint32(1)
+
 
-    def marks(self) -> bytes:
-        return np.array([zlib.crc32(self.word[i:e].encode("latin-1")) | 1 for i, e in enumerate(self.ends)], "<u4").tobytes()
+def spots(size: int, place: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Where words meet: by gram, place and length."""
+    h = marks.astype(np.uint64) << np.uint64(32) | np.uint64(size) << np.uint64(16)
+    return mix(h ^ place.astype(np.uint64)).view(np.int64)
 
 
-def meeting_places(words: DataFrame, known: Broadcast) -> DataFrame:
-    """key, own (of the length that the key is for, else one shorter), word, n, least (grams to share), grams."""
+def decomposed(words: DataFrame, known: Broadcast) -> DataFrame:
+    """Per word twice, for its own length and as shorter by one: word, n, own, size (the length that it is for), least
+    (grams to share), marks, and at (key, place) where it meets others: at its rarest grams, one more than an edit touches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,110 +184,142 @@ def meeting_places(words: DataFrame, known: Broadcast) -> DataFrame:
                     d = Decomposition(word, min(LONGEST_GRAM, size - 2), known.value)
                     touched = d.touched(grows=not own)
                     marks = d.marks()
-                    for i in d.rarest(touched + 1):
-                        gram = word[i : d.ends[i]]
-                        for place in (i,) if own else (i, i + 1):
-                            out.append((f"{size:06d} {place} {gram}", own, word, n, len(d.ends) - touched, marks))
+                    rare = np.argsort(marks, kind="stable")[: touched + 1]
+                    place = rare if own else np.append(rare, rare + 1)
+                    keys, first = np.unique(spots(size, place, marks[rare if own else np.append(rare, rare)]), return_index=True)
+                    out.append((word, n, own, size, len(d.ends) - touched, marks.tobytes(), keys.tolist(), place[first].tolist()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _MEET, strict=True)], schema=_MEET)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _WORDS, strict=True)], schema=_WORDS)
 
-    return words.select("word", "n").mapInArrow(run, "key string, own boolean, word string, n long, least int, grams binary")
+    sent = words.select("word", "n").mapInArrow(run, "word string, n long, own boolean, size int, least int, marks binary, keys array<long>, places array<int>")
+    return materialize(sent, "decomposed")
 
 
-_MEET = pa.schema([("key", pa.string()), ("own", pa.bool_()), ("word", pa.string()), ("n", pa.int64()), ("least", pa.int32()), ("grams", pa.binary())])
+_WORDS = pa.schema([
+    ("word", pa.string()), ("n", pa.int64()), ("own", pa.bool_()), ("size", pa.int32()), ("least", pa.int32()), ("marks", pa.binary()),
+    ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
+])
 
 
 def matrix(rows: list[bytes], width: int, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize * width
-    return np.frombuffer(b"".join(r.ljust(size, b"\0") for r in rows), kind).reshape(len(rows), width)
+    return np.frombuffer(b"".join([r.ljust(size, b"\0") for r in rows]), kind).reshape(len(rows), width)
+
+
+def letters(chars: np.ndarray) -> np.ndarray:
+    """Which letters a word has, as bits; one edit changes two at most."""
+    bits = np.zeros(len(chars), np.uint64)
+    for c in chars.T:
+        bits |= np.where(c > 0, np.uint64(1) << (c & np.uint8(63)).astype(np.uint64), np.uint64(0))
+    return bits
 
 
-def near_pairs(size: int, group: np.ndarray, side: np.ndarray, own: np.ndarray, words: list[bytes], grams: list[bytes], least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(size: int, group: np.ndarray, side: np.ndarray, own: np.ndarray, place: np.ndarray, words: list[bytes], grams: list[bytes], least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (of rows) one edit apart among rows of one group; the rows of a group lie together. ``size``: length of own words.
 
-    Rows of two sides are paired across; a shorter word only with an own one.
+    Rows of two sides are paired across; a shorter word only with an own one. A pair counts at the rarest of the grams
+    that agree, so in one group only.
     """
     chars, marks = matrix(words, size + 1, "u1"), matrix(grams, size, "<u4")
-    first = np.searchsorted(group, group, "left")
-    last = np.searchsorted(group, group, "right")
-    twofold = np.maximum.reduceat(side, np.unique(first)) if len(side) else side
-    crossed = twofold[np.searchsorted(np.unique(first), first)] > 0
+    has = letters(chars)
+    begins = np.ones(len(group), bool)
+    begins[1:] = group[1:] != group[:-1]
+    first = np.flatnonzero(begins)
+    of = np.cumsum(begins) - 1
+    last = np.append(first[1:], len(group))[of]
+    crossed = (np.maximum.reduceat(side, first) > 0)[of]
     partners = last - np.arange(len(group)) - 1
     done = np.concatenate([[0], np.cumsum(partners)])
-    step = max(1, STEP_CHARS // (8 * (size + 1)))
+    columns = np.arange(size)
     lo = 0
     while lo < len(group):
-        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + step, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + STEP_PAIRS, "right")) - 1)
         n = partners[lo:hi]
         a = np.repeat(np.arange(lo, hi), n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         lo = hi
-        fits = (own[a] | own[b]) & (~crossed[a] | (side[a] != side[b]))
+        fits = (np.bitwise_count(has[a] ^ has[b]) <= 2) & (own[a] | own[b]) & (place[a] == place[b]) & (~crossed[a] | (side[a] != side[b]))
         a, b = a[fits], b[fits]
         a, b = np.where(own[a], a, b), np.where(own[a], b, a)
-        same = own[b]
-        common = (marks[a] == marks[b]) & (marks[a] > 0)
-        shifted = (marks[a][:, 1:] == marks[b][:, :-1]) & (marks[b][:, :-1] > 0)
-        agree = common.sum(1) + np.where(same, 0, shifted.sum(1))
-        fits = agree >= np.maximum(least[a], least[b])
-        a, b, same = a[fits], b[fits], same[fits]
-        differ = chars[a] != chars[b]
-        one = differ.sum(1) == 1
-        # a shorter word agrees before the missing character from the left and after it from the right
-        before = np.where(differ.any(1), differ.argmax(1), size)
-        later = chars[a][:, 1:] != chars[b][:, :-1]
-        after = np.where(later.any(1), later[:, ::-1].argmax(1), size)
-        near = np.where(same, one, before + after >= size)
+        for part in np.array_split(np.arange(len(a)), 1 + len(a) * (size + 1) // STEP_CHARS):
+            yield from _verified(a[part], b[part], own, place, chars, marks, least, columns)
+
+
+def _verified(a: np.ndarray, b: np.ndarray, own: np.ndarray, place: np.ndarray, chars: np.ndarray, marks: np.ndarray, least: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    size = len(columns)
+    same = own[b]
+    here, there = marks[a], marks[b]
+    common = (here == there) & (here > 0)
+    shifted = np.zeros_like(common)
+    shifted[:, 1:] = (here[:, 1:] == there[:, :-1]) & (here[:, 1:] > 0) & ~same[:, None]
+    fits = common.sum(1) + shifted.sum(1) >= np.maximum(least[a], least[b])
+    # the group's gram is the first of those that agree, in the order of all grams
+    order = np.where(common | shifted, here.astype(np.uint64) << np.uint64(32) | columns.astype(np.uint64), np.uint64(2**64 - 1))
+    fits &= order.argmin(1) == place[a] if len(a) else fits
+    a, b, same = a[fits], b[fits], same[fits]
+    x, y = chars[a], chars[b]
+    differ = x != y
+    one = differ.sum(1) == 1
+    # a shorter word agrees before the missing character from the left and after it from the right
+    before = np.where(differ.any(1), differ.argmax(1), size)
+    later = x[:, 1:] != y[:, :-1]
+    after = np.where(later.any(1), later[:, ::-1].argmax(1), size)
+    near = np.where(same, one, before + after >= size)
+    if near.any():
         yield a[near], b[near]
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, near, near_n: every pair of words one edit apart, both ways, once."""
-    spark = words.sparkSession
-    known = spark.sparkContext.broadcast(gram_dictionary(words))
-    met = materialize(meeting_places(words, known), "meeting")
-    sizes = met.groupBy("key").agg(F.count("*").alias("members"), F.max("own").alias("some"))
-    sizes = sizes.where(F.col("some") & (F.col("members") > 1)).select("key", F.ceil(F.col("members") / BLOCK_WORDS).cast("int").alias("blocks"))
-    pairs = met.join(sizes, "key").withColumn("spot", F.xxhash64("word"))
-    pairs = pairs.select("key", "own", "word", "n", "least", "grams", block_pairs("blocks", "spot"))
-    pairs = pairs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "word")
+    known = words.sparkSession.sparkContext.broadcast(gram_dictionary(words))
+    table = decomposed(words, known)
+    met = table.select("word", "n", "own", "size", "least", "marks", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))))
+    # groups of more words than a block holds; rows / BLOCK_WORDS of them at most
+    large = table.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > BLOCK_WORDS)
+    large = materialize(large.select("key", F.ceil(F.col("count") / BLOCK_WORDS).cast("int").alias("many")), "large")
+    met = met.join(large, "key", "left").withColumn("blocks", F.coalesce("many", F.lit(1))).withColumn("spot", F.xxhash64("word"))
+    met = met.select("key", "place", "own", "size", "word", "n", "least", "marks", block_pairs("blocks", "spot"))
+    met = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
             """Of whole groups."""
-            keys = table.column("key").to_pylist()
-            names = list(zip(keys, table.column("x").to_pylist(), table.column("y").to_pylist(), strict=True))
-            group = np.cumsum([False] + [p != q for p, q in zip(names, names[1:], strict=False)])
-            sizes = np.array([int(k[:6]) if k[6] == " " else int(k.split()[0]) for k in keys])
-            texts, n = table.column("word").to_pylist(), table.column("n").to_numpy()
-            side, own = table.column("side").to_numpy(), np.array(table.column("own").to_pylist(), bool)
-            least, grams = table.column("least").to_numpy(), table.column("grams").to_pylist()
-            for size in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == size)
-                found = near_pairs(size, group[at], side[at], own[at], [texts[k].encode("latin-1") for k in at], [grams[k] for k in at], least[at])
-                for a, b in found:
-                    a, b = at[a], at[b]
-                    one, two = np.append(a, b), np.append(b, a)
-                    yield pa.RecordBatch.from_arrays([pa.array([texts[k] for k in one], pa.string()), pa.array([texts[k] for k in two], pa.string()), pa.array(n[two])], names=["word", "near", "near_n"])
+            key, size = table.column("key").to_numpy(), table.column("size").to_numpy()
+            x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (size[1:] != size[:-1])
+            group = np.cumsum(new) - 1
+            several = np.flatnonzero(np.bincount(group)[group] > 1)
+            table, group, size = table.take(pa.array(several)), group[several], size[several]
+            words, marks, n = table.column("word"), table.column("marks"), table.column("n").to_numpy()
+            texts, grams = words.to_pylist(), marks.to_pylist()
+            side, own = table.column("side").to_numpy(), np.asarray(table.column("own").combine_chunks().cast(pa.uint8())).astype(bool)
+            least, place = table.column("least").to_numpy(), table.column("place").to_numpy()
+            for s in np.unique(size).tolist():
+                at = np.flatnonzero(size == s)
+                for a, b in near_pairs(s, group[at], side[at], own[at], place[at], [texts[k].encode("latin-1") for k in at], [grams[k] for k in at], least[at]):
+                    one, two = np.append(at[a], at[b]), np.append(at[b], at[a])
+                    found = [words.take(pa.array(one)).combine_chunks(), words.take(pa.array(two)).combine_chunks(), pa.array(n[two])]
+                    yield pa.RecordBatch.from_arrays(found, names=["word", "near", "near_n"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
             # the last group may go on in the next batch
-            last = [table.column(c)[-1].as_py() for c in ("key", "x", "y")]
-            cut = table.num_rows
-            while cut and [table.column(c)[cut - 1].as_py() for c in ("key", "x", "y")] == last:
-                cut -= 1
-            if cut:
-                yield from pairs_of(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
+            last = [batch.column(c)[-1].as_py() for c in ("key", "x", "y")]
+            same = np.logical_and.reduce([np.asarray(batch.column(c)) == v for c, v in zip(("key", "x", "y"), last, strict=True)])
+            cut = int(np.argmax(same))
+            if cut or not held or [held[-1].column(c)[-1].as_py() for c in ("key", "x", "y")] != last:
+                whole = [*held, batch.slice(0, cut)]
+                if sum(map(len, whole)):
+                    yield from pairs_of(pa.Table.from_batches(whole))
+                held = []
+            held.append(batch.slice(cut))
         if held:
             yield from pairs_of(pa.Table.from_batches(held))
 
-    return pairs.mapInArrow(run, "word string, near string, near_n long").distinct()
+    return met.mapInArrow(run, "word string, near string, near_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:
