@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.text import format_term, format_value_list, format_value_map, replace_id_prefix
+from gridloom.sources.quoted import read_quoted
 
 
-def scan_entity_tsv(spark: SparkSession, path, columns: list[str]) -> DataFrame:
-    """Entity TSV: header, all columns text, quoted fields may hold tabs, quotes and line breaks."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(path, schema=schema, sep="\t", header=True, multiLine=True, quote='"', escape='"')
+def scan_entity_tsv(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
+    """Entity TSV: header, all columns text, quoted fields may hold tabs, quotes and line breaks.
+
+    Files are read in splits, and columns are found by name in each file's header.
+    """
+    return read_quoted(spark, path, columns)
 
 
 def scan_process_tsv(spark: SparkSession, path, columns: list[str]) -> DataFrame:
