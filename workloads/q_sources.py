@@ -10,7 +10,7 @@ from gridloom.operators import bricks
 from gridloom.operators.ontology import is_descendant
 from gridloom.operators.rowsets import merge_term as merge_terms
 from gridloom.session import materialize, scratch_path
-from gridloom.sources import brick_files, obo, tables, typedef
+from gridloom.sources import brick_files, obo, sectioned, tables, typedef
 from workloads.recast import num_id
 from workloads.registry import query
 from workloads.sqlparts import BRICKS, CLOSURE_SQL, ISA, LINEAGE_SQL, PROCESS, SALES, SALES_SQL, TERM, TERMS_SQL, with_
@@ -492,6 +492,119 @@ def scan_brick_csv(t):
     return out.select("name", "description", "type_term_id", "row_name", "col_name", "value")
 
 
+# ---- sectioned CSV: context, column definitions and wide tables ----
+
+#: Terms of the fields below: how their values are typed.
+FIELD_TERMS = [
+    ("ME:2", "component", None, "float"), ("ME:6", "row label", None, "text"), ("ME:8", "column kind", "oref", "oterm_ref"),
+    ("ME:10", "made by", "sdt_vector_name", "object_ref"), ("UO:1", "unit vector", None, None),
+]
+
+
+def field_terms(t):
+    return t.spark.createDataFrame(FIELD_TERMS, "term_id string, term_name string, target string, scalar_type string")
+
+
+def described_text(t):
+    """Every vector as a sectioned CSV array. Those of odd labels have no ``values`` line: their first dimension, one line for
+    the even components and one for the odd ones, becomes two columns."""
+    plain = F.col("label") % 2 == 0
+    number = lambda k: (F.floor(k / 8) + 1).cast("string")
+    values = F.col("embedding").cast("array<double>")
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda x: F.concat(x.cast("string"), F.lit(',"r, '), x.cast("string"), F.lit('"'))), "\n")
+    kinds = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda x: F.concat(x.cast("string"), F.lit(",k"), x.cast("string"), F.lit(" <K:"), x.cast("string"), F.lit(">"))), "\n")
+    full = F.transform(values, lambda v, k: F.concat_ws(",", number(k), (k % 8 + 1).cast("string"), v.cast("string"), F.concat(F.lit("vec"), F.col("vec_id").cast("string"), F.lit(" <V:1>"))))
+    half = F.transform(values, lambda v, k: F.concat_ws(",", (k % 2 + 1).cast("string"), (F.floor(k / 2) % 8 + 1).cast("string"), (F.floor(k / 16) + 1).cast("string"), v.cast("string")))
+    middle = F.when(plain, F.concat_ws(
+        "\n", F.lit("values,Component <ME:2>,Norm <ME:3>,L2 <ME:4>,Unit <UO:1>"), F.lit("values,Maker <ME:10>"), F.lit("size,8,8"),
+        F.lit("dmeta,1,Row <ME:5>,Row name <ME:6>,Order <ME:11>,ascending"), rows, F.lit("dmeta,2,Column <ME:8>,Kind <ME:8>"), kinds, F.lit("data"), F.array_join(full, "\n"),
+    )).otherwise(F.concat_ws(
+        "\n", F.lit("size,2,8,4"), F.lit("dmeta,1,Part <ME:12>,Side <ME:13>"), F.lit("1,Component <ME:2>,Side <ME:13>,even"), F.lit("2,Component <ME:2>,Unit <UO:1>"),
+        F.lit("dmeta,2,Row <ME:5>,Row name <ME:6>"), rows, F.lit("dmeta,3,Group <ME:14>,Group <ME:14>"), F.lit("1,g1\n2,g2\n3,g3\n4,g4"), F.lit("data"), F.array_join(half, "\n"),
+    ))
+    return t.embeddings.select(F.concat_ws(
+        "\n", F.format_string("name,vec %d", "vec_id"), F.lit('description,"a vector, whole"'), F.lit("type,Vector <DA:9>"),
+        F.format_string("meta,Label <ME:4>,%d", "label"), F.lit("meta,Source,made,here"), middle).alias("value"))
+
+
+def described(t):
+    """Lines, variables and columns of the arrays, and the terms of their fields."""
+    def made():
+        path = scratch_path(t.spark, "described")
+        described_text(t).write.text(path)
+        lines = materialize(brick_files.scan_brick_csv(t.spark, path), "sections")
+        terms = field_terms(t)
+        found = materialize(sectioned.variables(lines, terms), "variables")
+        below = t.spark.createDataFrame([("ME:6", "ME:5", False), ("ME:14", "ME:14", False)], "child_id string, parent_id string, is_below boolean")
+        return lines, found, materialize(sectioned.columns(found, below), "columns"), terms
+
+    if "_described" not in t.__dict__:  # shared by the queries below, as stored tables would be
+        t.__dict__["_described"] = made()
+    return t.__dict__["_described"]
+
+
+def with_name(t, df):
+    names = brick_files.sectioned_headers(described(t)[0]).select("brick_key", F.col("name").alias("array"))
+    return df.join(names, "brick_key").drop("brick_key")
+
+
+@query(
+    "sectioned_wide",
+    """SELECT 'vec ' || vec_id AS "array", 'r, ' || ((k - 1) // 8 + 1) AS row_row_label_order_ascending, 'K:' || ((k - 1) % 8 + 1) AS column_kind_sys_oterm_id,
+         'k' || ((k - 1) % 8 + 1) AS column_kind_sys_oterm_name, NULL AS row_row_label, NULL AS "group", embedding[k]::DOUBLE AS component_norm_l2_unit_vector,
+         'vec' || vec_id AS sdt_vector_name, NULL::DOUBLE AS component_side_even, NULL::DOUBLE AS component_unit_vector
+       FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE label % 2 = 0
+       UNION ALL
+       SELECT 'vec ' || vec_id, NULL, NULL, NULL, 'r, ' || (j % 8 + 1), 'g' || (j // 8 + 1), NULL, NULL, embedding[2 * j + 1]::DOUBLE, embedding[2 * j + 2]::DOUBLE
+       FROM embeddings, (SELECT unnest(range(0, 32)) AS j) WHERE label % 2 = 1""",
+)
+def sectioned_wide(t):
+    """From CSV text to one wide table of all arrays, of both forms."""
+    lines, _, cols, _ = described(t)
+    out = sectioned.wide(lines, cols)
+    numbers = ("component_norm_l2_unit_vector", "component_side_even", "component_unit_vector")
+    return with_name(t, out.withColumns({c: F.col(c).cast("double") for c in numbers}))
+
+
+@query(
+    "sectioned_typedef",
+    """WITH c(odd, column_name, column_type, scalar_type, foreign_key, comment, unit_id, unit_name, dimension_number, dim_id, dim_name, variable_number, var_id, var_name) AS (VALUES
+         (false, 'component_norm_l2_unit_vector', 'variable', 'float', NULL, 'component, Norm=L2', 'UO:1', 'Unit', NULL, NULL, NULL, 1, 'ME:2', 'component'),
+         (false, 'sdt_vector_name', 'variable', 'object_ref', 'sdt_vector.sdt_vector_name', 'made by', NULL, NULL, NULL, NULL, NULL, 2, 'ME:10', 'made by'),
+         (false, 'row_row_label_order_ascending', 'dimension_variable', 'text', NULL, 'row label, Order=ascending', NULL, NULL, 1, 'ME:5', 'Row', 1, 'ME:6', 'row label'),
+         (false, 'column_kind_sys_oterm_id', 'dimension_variable', 'oterm_ref', 'sys_oterm.sys_oterm_id', 'column kind, ontology term CURIE', NULL, NULL, 2, 'ME:8', 'column kind', 1, 'ME:8', 'column kind'),
+         (false, 'column_kind_sys_oterm_name', 'dimension_variable', 'oterm_ref', NULL, 'column kind', NULL, NULL, 2, 'ME:8', 'column kind', 1, 'ME:8', 'column kind'),
+         (true, 'component_side_even', 'variable', 'float', NULL, 'component, Side=even', NULL, NULL, NULL, NULL, NULL, 1, 'ME:2', 'component'),
+         (true, 'component_unit_vector', 'variable', 'float', NULL, 'component', 'UO:1', 'Unit', NULL, NULL, NULL, 2, 'ME:2', 'component'),
+         (true, 'row_row_label', 'dimension_variable', 'text', NULL, 'row label', NULL, NULL, 1, 'ME:5', 'Row', 1, 'ME:6', 'row label'),
+         (true, 'group', 'dimension_variable', NULL, NULL, 'Group', NULL, NULL, 2, 'ME:14', 'Group', 1, 'ME:14', 'Group'))
+       SELECT 'vec ' || vec_id AS "array", c.* EXCLUDE odd FROM embeddings JOIN c ON odd = (label % 2 = 1)""",
+)
+def sectioned_typedef(t):
+    """Column definitions of all arrays; without a ``values`` line dimensions count from one less."""
+    return with_name(t, sectioned.typedef_rows(described(t)[2])).drop("line")
+
+
+@query(
+    "sectioned_arrays",
+    """SELECT 'vec ' || vec_id AS "array", 'a vector, whole' AS description, 'DA:9' AS type_id, 'Vector' AS type_name,
+         CASE label % 2 WHEN 0 THEN '8,8' ELSE '8,4' END AS shape, CASE label % 2 WHEN 0 THEN 'ME:5,ME:8' ELSE 'ME:5,ME:14' END AS dim_ids,
+         CASE label % 2 WHEN 0 THEN 'Row,column kind' ELSE 'Row,Group' END AS dim_names, CASE label % 2 WHEN 0 THEN 'row label;column kind' ELSE 'row label;Group' END AS dim_variables,
+         CASE label % 2 WHEN 0 THEN 'ME:2,ME:10' ELSE 'ME:2,ME:2' END AS value_ids, CASE label % 2 WHEN 0 THEN 'component,made by' ELSE 'component,component' END AS value_names,
+         'ME:4:' || label || '|Source:made,here' AS context FROM embeddings""",
+)
+def sectioned_arrays(t):
+    """Headers of all arrays, with their context lines."""
+    lines, found, _, terms = described(t)
+    joined = lambda c: F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",").alias(c)
+    rest = F.array_join(F.slice("line", F.lit(2), F.size("line")), ",")
+    context = sectioned.meta(lines).select("brick_key", "n", F.concat_ws(":", F.coalesce("property_id", "property_name"), rest).alias("text"))
+    context = context.groupBy("brick_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "|").alias("context"))
+    out = sectioned.headers(lines, found, terms).join(context, "brick_key")
+    variables = F.array_join(F.transform("dim_variables", lambda v: F.array_join(v, ",")), ";").alias("dim_variables")
+    return out.select(F.col("name").alias("array"), "description", "type_id", "type_name", *map(joined, ("shape", "dim_ids", "dim_names")), variables, *map(joined, ("value_ids", "value_names")), "context")
+
+
 @query("brick_to_wide", SALES_SQL + "SELECT supplier_name, nation, balance, flag, month, year, quantity, price FROM sales_cell JOIN sales_d1 USING (i1) JOIN sales_d2 USING (i2) JOIN sales_d3 USING (i3)")
 def brick_to_wide(t):
     return t.sales.wide().select("supplier_name", "nation", "balance", "flag", "month", "year", "quantity", "price")
