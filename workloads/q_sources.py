@@ -10,7 +10,7 @@ from gridloom.operators import bricks
 from gridloom.operators.ontology import is_descendant
 from gridloom.operators.rowsets import merge_term as merge_terms
 from gridloom.session import materialize, scratch_path
-from gridloom.sources import brick_files, obo, sectioned, tables, typedef
+from gridloom.sources import brick_files, brick_json, obo, sectioned, tables, typedef
 from workloads.recast import num_id
 from workloads.registry import query
 from workloads.sqlparts import BRICKS, CLOSURE_SQL, ISA, LINEAGE_SQL, PROCESS, SALES, SALES_SQL, TERM, TERMS_SQL, with_
@@ -410,6 +410,62 @@ def scan_brick_json(t):
     return out.select("name", "row_name", "col_name", "attrs", "value")
 
 
+def foreign_documents(t):
+    """Array documents as another program writes them, one per line: vectors of even labels as 8 lists of 8, those of odd
+    ones as a flat list; every 50th is broken in one of four ways."""
+    values = F.col("embedding").cast("array<double>")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(values, r * 8 + 1, F.lit(8)))
+    nested = F.when(F.col("label") % 2 == 0, F.to_json(rows)).otherwise(F.to_json(values))
+    text = F.concat(
+        F.format_string('{"name": "vec %d", "description": "foreign", "data_type": {"oterm_ref": "DA:9", "oterm_name": "Vector"}, ', "vec_id"),
+        F.lit('"array_context": [{"value_type": {"oterm_ref": "ME:4", "oterm_name": "Checked"}, "value": {"scalar_type": "boolean", "boolean_value": '),
+        (F.col("label") > 4).cast("string"),
+        F.lit('}}, {"value_type": {"oterm_ref": "ME:7", "oterm_name": "Length"}, "value_units": {"oterm_ref": "UO:8", "oterm_name": "m"}, "value": {"scalar_type": "int", "int_value": '),
+        F.col("label").cast("string"),
+        F.lit('}}], "dim_context": [{"data_type": {"oterm_ref": "ME:5", "oterm_name": "Row"}, "size": 8, "typed_values": {"value_type": {"oterm_ref": "ME:6", "oterm_name": "Even"}, '
+              '"values": {"scalar_type": "boolean", "boolean_values": [true, false, true, false, true, false, true, null]}}}, '
+              '{"data_type": {"oterm_ref": "ME:8", "oterm_name": "Column"}, "size": 8, "typed_values": []}], '
+              '"typed_values": [{"value_type": {"oterm_ref": "ME:2", "oterm_name": "Component"}, "value_units": {"oterm_ref": "UO:1", "oterm_name": "unit"}, '
+              '"value_context": [{"value_type": {"oterm_ref": "ME:3", "oterm_name": "Norm"}, "value": {"scalar_type": "oterm_ref", "oterm_ref": "N:2"}}], "values": {"scalar_type": "float", "float_values": '),
+        nested, F.lit("}}]}"),
+    )
+    broken = F.when(F.col("vec_id") % 200 == 0, F.substring(text, 1, 300)).when(F.col("vec_id") % 200 == 50, F.lit("[1, 2]"))
+    broken = broken.when(F.col("vec_id") % 200 == 100, F.replace(text, F.lit('"name"'), F.lit('"title"'))).when(F.col("vec_id") % 200 == 150, F.replace(text, F.lit('"size": 8'), F.lit('"size": "many"')))
+    path = scratch_path(t.spark, "foreign")
+    t.embeddings.select(F.coalesce(broken, text).alias("value")).write.text(path)
+    return brick_json.scan_documents(t.spark, path, whole_files=False)
+
+
+@query("scan_brick_nested", "SELECT 'vec ' || vec_id AS name, ((k - 1) // 8)::INT AS i1, ((k - 1) % 8)::INT AS i2, embedding[k]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE vec_id % 50 <> 0")
+def scan_brick_nested(t):
+    """Cells of nested and of flat lists."""
+    docs = brick_json.accepted(foreign_documents(t))
+    out = brick_json.cells(docs, brick_json.variables(docs))
+    return out.select("name", F.col("idx")[0].alias("i1"), F.col("idx")[1].alias("i2"), F.col("value").cast("double").alias("value"))
+
+
+@query("rejected_documents", "SELECT CASE vec_id % 200 WHEN 0 THEN 'not JSON' WHEN 50 THEN 'not an object' WHEN 100 THEN 'no name' ELSE 'a dimension without a size' END AS fault, count(*) AS n FROM embeddings WHERE vec_id % 50 = 0 GROUP BY 1")
+def rejected_documents(t):
+    return brick_json.rejected(foreign_documents(t)).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query(
+    "brick_json_context",
+    """SELECT 'vec ' || vec_id AS name, 'DA:9' AS type_id, '8,8' AS shape, 'Checked=' || (label > 4) || ' , Length=' || label || ' m' AS attributes,
+         'Component unit Norm=N:2' AS variable, 'true,false,true,false,true,false,true,' AS even FROM embeddings WHERE vec_id % 50 <> 0""",
+)
+def brick_json_context(t):
+    """Attributes, units and value context of the arrays, and a dimension of booleans with a gap."""
+    docs = brick_json.accepted(foreign_documents(t))
+    found = brick_json.variables(docs)
+    shown = lambda a: F.concat_ws(" ", F.concat_ws("=", a["type_name"], a["value"]), F.coalesce(a["units_name"], F.lit("")))
+    data = found.where("dim IS NULL").select("name", F.concat_ws(" ", "type_name", "units_name", F.array_join(F.transform("context", lambda a: F.concat_ws("=", a["type_name"], a["value"])), ",")).alias("variable"))
+    even = brick_json.dimension_values(found).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("v"))
+    even = even.select("name", F.array_join(F.transform("v", lambda x: F.coalesce(x["value"], F.lit(""))), ",").alias("even"))
+    heads = brick_json.headers(docs).select("name", "type_id", F.array_join(F.transform("shape", lambda x: x.cast("string")), ",").alias("shape"), F.array_join(F.transform("attributes", shown), ", ").alias("attributes"))
+    return heads.join(data, "name").join(even, "name")
+
+
 @query("unravel_index", "SELECT vec_id, (k - 1) // 32 AS i1, (k - 1) // 8 % 4 AS i2, (k - 1) % 8 AS i3, k - 1 AS pos FROM embeddings, (SELECT unnest(range(1, 65)) AS k)")
 def unravel_index(t):
     """Positions to indices and back to positions."""
