@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import line_thickness
+from gridloom.operators.reach import Edges, reach, reverse
 from gridloom.session import materialize
 
 MAX_ARRAYS_PER_TYPE = 2  # fixed value: more array types than this under one type are clustered
@@ -37,6 +38,27 @@ def process_type_edges(process_input: DataFrame, process_output: DataFrame, proc
     )
 
 
+MATCH, ABOVE, BELOW = "match", "above", "below"
+
+
+def processes_around(process: DataFrame, chosen: DataFrame, edges: Edges) -> DataFrame:
+    """``process`` rows that match, lie above a match or lie below one, with ``mark`` (match before above before below) and
+    ``in_filter`` (only the matches themselves).
+
+    ``chosen(id)`` holds the matches. One walk each way from all of them at once; every vertex is met once.
+    """
+    start = chosen.select(F.concat(F.lit("Process:"), "id").alias("vertex")).distinct()
+
+    def met(walk: Edges, mark: str) -> DataFrame:
+        found = reach(start, walk, include_start=mark == ABOVE).filter(F.col("vertex").startswith("Process:"))
+        return found.select(F.substring("vertex", len("Process:") + 1, 2**31 - 1).alias("id"), F.when(F.col("hops") == 0, MATCH).otherwise(mark).alias("mark"))
+
+    marked = met(reverse(edges), ABOVE).unionByName(met(edges, BELOW))
+    place = F.when(F.col("mark") == MATCH, 0).when(F.col("mark") == ABOVE, 1).otherwise(2)
+    marked = marked.groupBy("id").agg(F.min_by("mark", place).alias("mark"))
+    return process.join(marked, "id").withColumn("in_filter", F.col("mark") == MATCH)
+
+
 def group_key() -> Column:
     return F.concat_ws(">", F.array_join("from_types", "+"), F.array_join("to_types", "+"))
 
@@ -64,22 +86,44 @@ def type_graph_edges(groups: DataFrame) -> DataFrame:
     )
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+    return r["n"], r["x"]
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Hangs neighbours on the least vertex around each vertex u: the greater ones with ``large``, else all of lesser or
+    equal label. Edges (u, v) run from the greater vertex to the lesser."""
+    around = edges
+    if large:
+        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    moved = around.join(least, "u")
+    if large:
+        out = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = moved.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return out.distinct()
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """Connected components of ``pairs(node, via)``: nodes sharing a ``via`` belong together.
+    """Connected components of ``pairs(node, via)``: nodes sharing a ``via`` belong together. Result: node, label (the least
+    node of the component).
 
     Nodes hang on the shared key, never on each other, so a key of many nodes costs one row per
-    node. Each round passes the least label over the keys and back: node, label.
+    node. Rounds of a large-star and a small-star step halve distances, so their number grows
+    with the logarithm of the longest path.
     """
-    pairs = materialize(pairs.select("node", "via").distinct(), "pairs")
-    labels = materialize(pairs.select("node", F.col("node").alias("label")).distinct(), "labels")
-    while True:
-        per_key = pairs.join(labels, "node").groupBy("via").agg(F.min("label").alias("label"))
-        offered = pairs.join(per_key, "via").groupBy("node").agg(F.min("label").alias("better"))
-        nxt = labels.join(offered, "node").select("node", F.least("label", "better").alias("label"), (F.col("better") < F.col("label")).alias("moved"))
-        nxt = materialize(nxt, "labels")
-        labels = nxt.select("node", "label")
-        if nxt.filter("moved").isEmpty():
-            return labels
+    pairs = pairs.filter("node IS NOT NULL AND via IS NOT NULL").select("node", "via").distinct()
+    # a node sorts before every key, so the least vertex of a component is a node
+    edges = materialize(pairs.select(F.concat(F.lit("v"), "via").alias("u"), F.concat(F.lit("n"), "node").alias("v")), "pairs")
+    before = None
+    while (now := _fingerprint(edges)) != before:
+        before = now
+        edges = materialize(_star(_star(edges, True), False), "stars")
+    nodes = edges.filter(F.col("u").startswith("n")).unionByName(edges.select(F.col("v").alias("u"), "v")).distinct()
+    plain = lambda c: F.substring(c, 2, 2**31 - 1)
+    return nodes.select(plain("u").alias("node"), plain("v").alias("label"))
 
 
 def type_graph_merge(groups: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from gridloom.operators import reach as rc
 from gridloom.operators.lineage import coassembled, provenance_tree
 from gridloom.operators.links import intermediates, linked_with_props, nearest_sources, search_all, upstream_graph, upstream_props
 from gridloom.operators.ontology import microtype_tree
+from gridloom.operators import type_graph
 from gridloom.operators.type_graph import components
 
 
@@ -189,3 +190,40 @@ def test_a_hub_is_one_row_per_property(spark):
     assert graph.count() == 400
     assert {tuple(r) for r in intermediates(objects.limit(1), graph).select("hops").distinct().collect()} == {(1,), (2,)}
     assert upstream_props(objects, edges(spark, *pairs), values).count() == 200
+
+
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    store = type_graph.materialize
+    monkeypatch.setattr(type_graph, "materialize", lambda df, label: rounds.append(label) or store(df, label))
+    n = 10_000
+    pairs = spark.range(n).select(F.xxhash64("id").cast("string").alias("node"), F.explode(F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string"))).alias("via"))
+    out = components(pairs)
+    assert out.select("label").distinct().count() == 1 and out.count() == n
+    assert rounds.count("stars") < 20
+
+
+def test_components_of_generated_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"{rng.randrange(60)}", f"{rng.randrange(50)}") for _ in range(70)] + [("solo", "alone"), ("v1", "n1"), (None, "1"), ("9", None)]
+    label = {n: n for n, _ in rows if n}
+    for _ in rows:
+        for a, x in rows:
+            for b, y in rows:
+                if x == y and a and b and x:
+                    label[a] = label[b] = min(label[a], label[b])
+    met = {n for n, v in rows if n and v}
+    got = components(spark.createDataFrame(rows, "node string, via string"))
+    assert {tuple(r) for r in got.collect()} == {(n, label[n]) for n in met}
+
+
+def test_processes_around_matches(spark, lineage):
+    pin, pout, e = lineage
+    process = spark.createDataFrame([("P1", "a"), ("P2", "b"), ("P3", "c"), ("P4", "d")], "id string, process_term_name string")
+    got = type_graph.processes_around(process, spark.createDataFrame([("P2",)], "id string"), e)
+    assert {(r.id, r.mark, r.in_filter) for r in got.collect()} == {("P1", "above", False), ("P2", "match", True), ("P3", "below", False)}
+    both = type_graph.processes_around(process, spark.createDataFrame([("P1",), ("P3",)], "id string"), e)
+    assert {(r.id, r.mark) for r in both.collect()} == {("P1", "match"), ("P2", "above"), ("P3", "match")}
+    assert type_graph.processes_around(process, process.filter("false").select("id"), e).count() == 0

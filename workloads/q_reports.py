@@ -150,6 +150,42 @@ def process_type_edges(t):
     return groups(t).select("process_id", "name", "in_filter", "edge")
 
 
+CHOSEN = "person_term_id = 'NATION:0000004' AND campaign_term_id = 'CAMP:SETUP'"
+AROUND = with_(
+    EDGES, PROCESS,
+    f"""hit(v) AS (SELECT 'Process:' || id FROM proc WHERE {CHOSEN}),
+    up(v) AS (SELECT v FROM hit UNION SELECT src FROM up JOIN edge ON dst = v),
+    dn(v) AS (SELECT dst FROM hit JOIN edge ON src = v UNION SELECT dst FROM dn JOIN edge ON src = v),
+    mark AS (SELECT id, process_term_name AS name, CASE WHEN 'Process:' || id IN (SELECT v FROM hit) THEN 'match' WHEN 'Process:' || id IN (SELECT v FROM up) THEN 'above' ELSE 'below' END AS mark
+      FROM proc WHERE 'Process:' || id IN (SELECT v FROM up UNION ALL SELECT v FROM dn)),
+    fromt AS (SELECT process_id, string_agg(DISTINCT obj_type, '+' ORDER BY obj_type) AS f FROM pin WHERE obj_type NOT LIKE 'Brick-%' GROUP BY 1),
+    tot AS (SELECT process_id, string_agg(DISTINCT obj_type, '+' ORDER BY obj_type) AS t FROM pout GROUP BY 1)""",
+    recursive=True,
+)
+
+
+@query(
+    "process_type_edges_filtered",
+    AROUND + "SELECT id AS process_id, name, mark, mark = 'match' AS in_filter, f || '>' || coalesce(t, '') AS edge FROM mark JOIN fromt ON fromt.process_id = id LEFT JOIN tot ON tot.process_id = id",
+)
+def process_type_edges_filtered(t):
+    """The type graph of one person's set-up, what led to it and what came of it."""
+    around = tg.processes_around(t.process, t.process.filter(CHOSEN).select("id"), t.edges)
+    g = tg.process_type_edges(t.process_input, t.process_output, around).withColumn("edge", tg.group_key())
+    return g.join(around.select(F.col("id").alias("process_id"), "mark"), "process_id").select("process_id", "name", "mark", "in_filter", "edge")
+
+
+@query(
+    "type_graph_edges_filtered",
+    AROUND + """SELECT f || '>' || coalesce(t, '') AS edge, count(*) AS num, string_agg(DISTINCT name, ', ' ORDER BY name) AS names, bool_or(mark = 'match') AS in_filter
+      FROM mark JOIN fromt ON fromt.process_id = id LEFT JOIN tot ON tot.process_id = id GROUP BY 1""",
+)
+def type_graph_edges_filtered(t):
+    around = tg.processes_around(t.process, t.process.filter(CHOSEN).select("id"), t.edges)
+    g = tg.process_type_edges(t.process_input, t.process_output, around).withColumn("edge", tg.group_key())
+    return tg.type_graph_edges(g).withColumn("names", F.array_join("names", ", "))
+
+
 GRAPH = PTYPES.rstrip() + """,
   ge AS (SELECT edge_key AS edge, count(*) AS num, string_agg(DISTINCT name, ', ' ORDER BY name) AS names, bool_or(in_filter) AS in_filter FROM ptype GROUP BY 1),
   side AS (SELECT edge_key AS edge, 'from' AS side, obj_type, count(DISTINCT obj) AS n_type FROM ptype JOIN pin USING (process_id)
