@@ -8,6 +8,35 @@ from pyspark.sql import functions as F
 from gridloom.operators.reach import Edges, reach, reverse
 
 
+class Through:
+    """A relation of objects through processes, kept as two tables: (process, object) on either side.
+
+    Its rows are as many as the references, however many pairs they stand for. Pairs are counted by multiplication, and
+    listed for chosen objects only.
+    """
+
+    def __init__(self, near: DataFrame, far: DataFrame):
+        self.near = near.select("process_id", "obj").distinct()
+        self.far = far.select("process_id", "obj").distinct()
+
+    def rows(self, near: str = "in", far: str = "out") -> DataFrame:
+        """side, process_id, obj: the references of processes with both sides."""
+        own = self.near.join(self.far.select("process_id"), "process_id", "left_semi").select(F.lit(near).alias("side"), "process_id", "obj")
+        other = self.far.join(self.near.select("process_id"), "process_id", "left_semi").select(F.lit(far).alias("side"), "process_id", "obj")
+        return own.unionByName(other)
+
+    def sizes(self) -> DataFrame:
+        """obj, n_processes, n_pairs (with process and object of the far side)."""
+        width = self.far.groupBy("process_id").agg(F.count("*").alias("n"))
+        found = self.near.join(width, "process_id")
+        return found.groupBy("obj").agg(F.count("*").alias("n_processes"), F.sum("n").alias("n_pairs"))
+
+    def pairs(self, objects: DataFrame) -> DataFrame:
+        """obj, process_id, other: of ``objects(obj)`` alone."""
+        chosen = self.near.join(objects.select("obj").distinct(), "obj", "left_semi")
+        return chosen.join(self.far.withColumnRenamed("obj", "other"), "process_id").select("obj", "process_id", "other")
+
+
 def producer_lookup(process_input: DataFrame, process_output: DataFrame, process: DataFrame) -> DataFrame:
     """Each object with each process that made it, the process metadata and its inputs, one row per input."""
     made = process_output.select("obj", F.col("process_id").alias("id")).distinct().join(process, "id")

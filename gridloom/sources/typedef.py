@@ -86,17 +86,21 @@ def spark_type(scalar_type: str) -> T.DataType:
     )
 
 
-def schema_of(columns: DataFrame, type_name: str) -> T.StructType:
-    """The schema of one type; only its column metadata comes to the driver."""
-    rows = columns.filter(F.col("type_name") == type_name).orderBy("pos", "part").collect()
-    fields = []
-    for r in rows:
+def schemas_of(columns: DataFrame) -> dict[str, T.StructType]:
+    """The schema of every type. Only column metadata comes to the driver, in one job."""
+    fields: dict[str, list[T.StructField]] = {}
+    for r in columns.orderBy("type_name", "pos", "part").toLocalIterator():
         metadata = {"orig_name": r["name"], "is_pk": r["PK"], "is_upk": r["UPK"]}
         for key, value in (("fk", r["fk_ref"]), ("units_sys_oterm_id", r["units_term"]), ("type_sys_oterm_id", r["type_term"])):
             if value is not None:
                 metadata[key] = value
-        fields.append(T.StructField(r["column"], spark_type(r["scalar_type"]), not r["required"], metadata))
-    return T.StructType(fields)
+        fields.setdefault(r["type_name"], []).append(T.StructField(r["column"], spark_type(r["scalar_type"]), not r["required"], metadata))
+    return {name: T.StructType(own) for name, own in fields.items()}
+
+
+def schema_of(columns: DataFrame, type_name: str) -> T.StructType:
+    """The schema of one type."""
+    return schemas_of(columns.filter(F.col("type_name") == type_name)).get(type_name, T.StructType([]))
 
 
 def build_typedef_table(columns: DataFrame, terms: DataFrame) -> DataFrame:

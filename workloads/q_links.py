@@ -42,10 +42,10 @@ PROC_COLS = "proc.id, process_term_name, person_term_name, date_start"
 
 @query(
     "up_processes",
-    LINEAGE_SQL + f"SELECT DISTINCT obj, {PROC_COLS} FROM pout JOIN proc ON proc.id = process_id WHERE obj_type IN ('Part', 'Nation')",
+    LINEAGE_SQL + f"SELECT DISTINCT obj, {PROC_COLS} FROM pout JOIN proc ON proc.id = process_id",
 )
 def up_processes(t):
-    objects = t.process_output.filter(F.col("obj_type").isin("Part", "Nation")).select("obj").distinct()
+    objects = t.process_output.select("obj").distinct()
     return links.processes_of(objects, t.process_output, t.process).select(
         "obj", "id", "process_term_name", "person_term_name", "date_start"
     )
@@ -53,10 +53,10 @@ def up_processes(t):
 
 @query(
     "down_processes",
-    LINEAGE_SQL + f"SELECT DISTINCT obj, {PROC_COLS} FROM pin JOIN proc ON proc.id = process_id WHERE obj_type = 'Supplier'",
+    LINEAGE_SQL + f"SELECT DISTINCT obj, {PROC_COLS} FROM pin JOIN proc ON proc.id = process_id",
 )
 def down_processes(t):
-    objects = t.process_input.filter("obj_type = 'Supplier'").select("obj").distinct()
+    objects = t.process_input.select("obj").distinct()
     return links.processes_of(objects, t.process_input, t.process).select(
         "obj", "id", "process_term_name", "person_term_name", "date_start"
     )
@@ -85,10 +85,10 @@ def keys(t):
     "up_process_docs",
     with_(EDGES, KEYS)
     + """SELECT pout.obj, pout.process_id, pin.obj AS other, pin.obj_type AS other_type, user_key
-         FROM pout JOIN pin USING (process_id) LEFT JOIN keys ON keys.obj = pin.obj WHERE pout.obj_type LIKE 'Brick%' OR pout.obj_type = 'Customer'""",
+         FROM pout JOIN pin USING (process_id) LEFT JOIN keys ON keys.obj = pin.obj""",
 )
 def up_process_docs(t):
-    objects = t.process_output.filter("obj_type LIKE 'Brick%' OR obj_type = 'Customer'").select("obj").distinct()
+    objects = t.process_output.select("obj").distinct()
     return links.process_docs(objects, t.process_output, t.process_input, keys(t))
 
 
@@ -96,10 +96,10 @@ def up_process_docs(t):
     "down_process_docs",
     with_(EDGES, KEYS)
     + """SELECT pin.obj, pin.process_id, pout.obj AS other, pout.obj_type AS other_type, user_key
-         FROM pin JOIN pout USING (process_id) LEFT JOIN keys ON keys.obj = pout.obj WHERE pin.obj_type = 'Customer'""",
+         FROM pin JOIN pout USING (process_id) LEFT JOIN keys ON keys.obj = pout.obj""",
 )
 def down_process_docs(t):
-    objects = t.process_input.filter("obj_type = 'Customer'").select("obj").distinct()
+    objects = t.process_input.select("obj").distinct()
     return links.process_docs(objects, t.process_input, t.process_output, keys(t))
 
 
@@ -462,9 +462,37 @@ def token_from_name(t):
     return links.token_from_name(names, wanted)
 
 
-@query("forward_map", EDGES_SQL + "SELECT DISTINCT pin.obj, pout.obj AS output FROM pin JOIN pout USING (process_id) WHERE pin.obj_type <> 'Supplier'")
+@query("forward_map", EDGES_SQL + "SELECT DISTINCT pin.obj, pout.obj AS output FROM pin JOIN pout USING (process_id)")
 def forward_map(t):
-    return links.forward_map(t.process_input.filter("obj_type <> 'Supplier'"), t.process_output)
+    """Every input with every output: as many rows as there are pairs. ``forward_relation`` holds the same without them."""
+    return links.forward_map(t.process_input, t.process_output)
+
+
+@query(
+    "forward_relation",
+    EDGES_SQL + """SELECT 'in' AS side, process_id, obj FROM pin WHERE process_id IN (SELECT process_id FROM pout)
+      UNION ALL SELECT 'out', process_id, obj FROM pout WHERE process_id IN (SELECT process_id FROM pin)""",
+)
+def forward_relation(t):
+    return lineage.Through(t.process_input, t.process_output).rows()
+
+
+@query("forward_sizes", EDGES_SQL + "SELECT pin.obj, count(DISTINCT process_id) AS n_processes, count(*) AS n_pairs FROM pin JOIN pout USING (process_id) GROUP BY 1")
+def forward_sizes(t):
+    """How many outputs each input leads to, counted without making the pairs."""
+    return lineage.Through(t.process_input, t.process_output).sizes()
+
+
+@query("backward_sizes", EDGES_SQL + "SELECT pout.obj, count(DISTINCT process_id) AS n_processes, count(*) AS n_pairs FROM pin JOIN pout USING (process_id) GROUP BY 1")
+def backward_sizes(t):
+    return lineage.Through(t.process_output, t.process_input).sizes()
+
+
+@query("forward_pairs", EDGES_SQL + "SELECT pin.obj, process_id, pout.obj AS other FROM pin JOIN pout USING (process_id) WHERE pin.obj_type IN ('Nation', 'Region')")
+def forward_pairs(t):
+    """The pairs of chosen inputs alone: places and what was set up there."""
+    places = t.process_input.filter(F.col("obj_type").isin("Nation", "Region")).select("obj")
+    return lineage.Through(t.process_input, t.process_output).pairs(places)
 
 
 @query(
@@ -510,14 +538,10 @@ def provenance_tree(t):
     "build_producer_lookup",
     LINEAGE_SQL
     + """SELECT pout.obj, proc.id, process_term_name, date_end, pin.obj AS input FROM pout JOIN proc ON proc.id = pout.process_id
-         LEFT JOIN pin ON pin.process_id = proc.id WHERE pout.obj_type <> 'Part' OR process_term_name = '5-LOW'""",
+         LEFT JOIN pin ON pin.process_id = proc.id""",
 )
 def build_producer_lookup(t):
-    process = t.process
-    low = process.filter("process_term_name = '5-LOW'").select(F.col("id").alias("process_id"))
-    parts = t.process_output.filter("obj_type = 'Part'").join(low, "process_id", "left_semi")
-    made = t.process_output.filter("obj_type <> 'Part'").unionByName(parts)
-    out = lineage.producer_lookup(t.process_input, made, process)
+    out = lineage.producer_lookup(t.process_input, t.process_output, t.process)
     return out.select("obj", "id", "process_term_name", "date_end", "input")
 
 

@@ -102,20 +102,18 @@ def term_descendants(t):
 
 @query(
     "term_parents",
-    TERMS_SQL + "SELECT child AS child_id, term_id, term_name FROM isa JOIN term ON term_id = parent WHERE child LIKE 'PNAME:%'",
+    TERMS_SQL + "SELECT child AS child_id, term_id, term_name FROM isa JOIN term ON term_id = parent",
 )
 def term_parents(t):
-    chosen = t.terms.filter(F.col("term_id").startswith("PNAME:"))
-    return ontology.term_parents(t.terms, chosen).select("child_id", "term_id", "term_name")
+    return ontology.term_parents(t.terms, t.terms).select("child_id", "term_id", "term_name")
 
 
 @query(
     "term_path",
-    CLOSURE_SQL + "SELECT c.term_id AS child_id, a.term_id, a.term_name FROM closure c JOIN term a ON a.term_id = c.ancestor_id WHERE c.term_id LIKE 'PERSON:%'",
+    CLOSURE_SQL + "SELECT c.term_id AS child_id, a.term_id, a.term_name FROM closure c JOIN term a ON a.term_id = c.ancestor_id",
 )
 def term_path(t):
-    chosen = t.terms.filter(F.col("term_id").startswith("PERSON:"))
-    return ontology.term_path(t.terms, t.closure, chosen).select("child_id", "term_id", "term_name")
+    return ontology.term_path(t.terms, t.closure, t.terms).select("child_id", "term_id", "term_name")
 
 
 @query(

@@ -85,14 +85,14 @@ def column_names(t):
 
 @query(
     "schema_from_typedef",
-    f"""WITH {FIELD_SQL} SELECT column_name, CASE scalar_type WHEN 'float' THEN 'double' WHEN 'int' THEN 'int' WHEN '[text]' THEN 'array<string>' ELSE 'string' END AS spark_type,
-        NOT is_pk AS nullable, fk FROM cols WHERE type_name = 'SMALL'""",
+    f"""WITH {FIELD_SQL} SELECT upper(type_name) AS type_name, column_name, CASE scalar_type WHEN 'float' THEN 'double' WHEN 'int' THEN 'int' WHEN '[text]' THEN 'array<string>' ELSE 'string' END AS spark_type,
+        NOT is_pk AS nullable, fk FROM cols""",
 )
 def schema_from_typedef(t):
-    """The schema of one type applied to an empty read, shown as rows."""
-    schema = typedef.schema_of(typedef_columns(t), "Small")
-    rows = [(f.name, f.dataType.simpleString(), f.nullable, f.metadata.get("fk")) for f in schema]
-    return t.spark.createDataFrame(rows, "column_name string, spark_type string, nullable boolean, fk string")
+    """The schemas of all types, shown as rows."""
+    schemas = typedef.schemas_of(typedef_columns(t))
+    rows = [(name.upper(), f.name, f.dataType.simpleString(), f.nullable, f.metadata.get("fk")) for name, schema in schemas.items() for f in schema]
+    return t.spark.createDataFrame(rows, "type_name string, column_name string, spark_type string, nullable boolean, fk string")
 
 
 @query(
@@ -502,12 +502,12 @@ def brick_to_json(t):
     return brick_files.scan_json_blocks(t.spark.read.parquet(path), "data", "double")
 
 
-@query("brick_to_csv", SALES_SQL + "SELECT i1 + 1 AS c1, i2 + 1 AS c2, i3 + 1 AS c3, quantity AS v FROM sales_cell")
+@query("brick_to_csv", SALES_SQL + "SELECT i1 + 1 AS c1, i2 + 1 AS c2, i3 + 1 AS c3, quantity, price, n FROM sales_cell")
 def brick_to_csv(t):
     """Long CSV with 1-based indices, read back."""
     path = scratch_path(t.spark, "csv")
-    brick_files.brick_to_csv(t.sales_cells, ["i1", "i2", "i3"], ["quantity"], path)
-    return t.spark.read.csv(path, schema="c1 bigint, c2 int, c3 int, v double")
+    brick_files.brick_to_csv(t.sales_cells, ["i1", "i2", "i3"], ["quantity", "price", "n"], path)
+    return t.spark.read.csv(path, schema="c1 bigint, c2 int, c3 int, quantity double, price double, n bigint")
 
 
 def sectioned_text(t):

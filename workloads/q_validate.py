@@ -331,12 +331,11 @@ def upsert_classify(t):
 @query(
     "check_core_vs_process",
     """SELECT p_partkey AS id, count(DISTINCT l_orderkey) AS n, CASE WHEN count(DISTINCT l_orderkey) = 0 THEN 'not found in process file' ELSE 'conflicting input objects' END AS message
-       FROM part LEFT JOIN (SELECT l_partkey, l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_totalprice > 490000) ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT l_orderkey) <> 1""",
+       FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT l_orderkey) <> 1""",
 )
 def check_core_vs_process(t):
-    """Parts against the largest orders, of which each part should have exactly one."""
-    large = t.orders.filter("o_totalprice > 490000").select(F.col("o_orderkey").alias("l_orderkey"))
-    outputs = t.lineitem.join(large, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("process_id"), F.col("l_partkey").alias("user_key"))
+    """Parts against all orders, of which each part should have exactly one."""
+    outputs = t.lineitem.select(F.col("l_orderkey").alias("process_id"), F.col("l_partkey").alias("user_key"))
     return ingest.check_core_vs_process(t.part.select(F.col("p_partkey").alias("id")), "id", outputs)
 
 
