@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from gridloom.operators import bricks as bk
 from gridloom.operators import numbering
 from gridloom.operators.bricks import Brick, Dim
-from gridloom.operators.pca import Pca, PcaModel, rows_to_arrays
+from gridloom.operators import pca
+from gridloom.operators.pca import CellPca, Pca, PcaModel, rows_to_arrays
 from gridloom.plans import slices
 
 
@@ -152,6 +153,49 @@ def test_pca_gives_arrays(spark):
         pca.fit(Brick("b", "B", dims[:1], cells, ("v",)))
 
 
+def loadings_of(model, cols, k):
+    out = np.zeros((cols, k))
+    for r in model.components().collect():
+        out[r["i2"], r["component"] - 1] = r["loading"]
+    return out
+
+
+@pytest.mark.parametrize("vectors", [64, 6])
+def test_pca_of_sparse_wide_cells(spark, monkeypatch, vectors):
+    """More columns than vectors, absent cells that stand for 2, and a spectrum that falls off."""
+    monkeypatch.setattr(pca, "VECTORS", vectors)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 30)) @ np.diag(3.0 ** -np.arange(30)) @ rng.normal(size=(30, 30))
+    kept = rng.random(x.shape) < 0.8
+    x = np.where(kept, x, 2.0)
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i, j in np.argwhere(kept).tolist()] + [(0, 0, None)] * 2, "i1 int, i2 int, v double").repartition(3)
+    cells = cells.where("v IS NOT NULL OR i1 = 0")
+    model = CellPca(cells, "i1", "i2", "v", whiten=False, fill=2.0)
+    c = x - x.mean(axis=0)
+    u, s, vt = np.linalg.svd(c, full_matrices=False)
+    sign = np.sign(vt[np.arange(3), np.abs(vt[:3]).argmax(axis=1)])
+    assert model.variances == pytest.approx(s[:3] ** 2 / 39, rel=1e-8)
+    assert loadings_of(model, 30, 3) == pytest.approx((vt[:3] * sign[:, None]).T, abs=1e-5)
+    got = np.zeros((40, 3))
+    for r in model.scores().collect():
+        got[r["i1"], r["component"] - 1] = r["score"]
+    assert got == pytest.approx(c @ (vt[:3] * sign[:, None]).T, abs=1e-4)
+    with pytest.raises(ValueError, match="absent"):
+        CellPca(cells, "i1", "i2", "v")
+    with pytest.raises(ValueError, match="more than once"):
+        CellPca(cells.unionByName(cells.where("v IS NOT NULL").limit(1)), "i1", "i2", "v", fill=0.0)
+
+
+def test_pca_of_every_variable(spark):
+    cells = bk.create_cells(spark, [12, 4]).withColumns({"v": F.sin(F.col("i1") * 1.7 + F.col("i2") * F.col("i1")), "w": F.cos(F.col("i1") * F.col("i2") + F.col("i1"))})
+    dims = tuple(Dim(n, spark.range(s).select(F.col("id").alias("idx")), ()) for n, s in (("A", 12), ("B", 4)))
+    model = Pca()
+    scores = model.fit(Brick("b", "B", dims, cells, ("v", "w")))
+    assert scores.data_vars == model.components_.data_vars == ("v", "w") and scores.cells.count() == 36
+    alone = {(r.i1, r.component - 1): r.score for r in CellPca(cells, "i1", "i2", "w").scores().collect()}
+    assert {(r.i1, r.i2): r.w for r in scores.cells.collect()} == pytest.approx(alone)
+
+
 def test_dimension_variables_from_entities(cube, spark):
     b, _ = cube
     sites = spark.createDataFrame([("S1", "north", 9.0), ("S2", "north", 8.0), ("S3", "east", 7.0)], "id string, name string, lat double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.text import concat_dim_values, series_label
 from gridloom.operators import bricks, catalog
-from gridloom.operators.pca import PcaModel, rows_to_arrays
+from gridloom.operators.pca import CellPca, PcaModel, rows_to_arrays
 from gridloom.operators.reports import term_stat
 from gridloom.plans import slices
 from gridloom.plans.search import search
@@ -309,6 +309,38 @@ def pca_components(t):
     return r6(pca_model(t).components(), "loading")
 
 
+def full_model(t):
+    """All components, unwhitened, straight from the cells."""
+    if "_full_pca" not in t.__dict__:  # shared by the two queries below
+        cells = t.embeddings.select(F.col("vec_id").alias("i1"), F.posexplode("embedding").alias("i2", "value"))
+        t.__dict__["_full_pca"] = CellPca(cells, "i1", "i2", "value", n_components=64, whiten=False)
+    return t.__dict__["_full_pca"]
+
+
+@query(
+    "pca_spectrum",
+    """WITH c AS (SELECT vec_id, unnest(range(1, 65)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+       s AS (SELECT a.j AS x, b.j AS y, covar_samp(a.v, b.v) AS c FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2)
+       SELECT count(DISTINCT x) AS n, round(sum(c) FILTER (x = y), 4) AS total, round(sum(c * c), 4) AS squares FROM s""",
+)
+def pca_spectrum(t):
+    """The variances of all scores add up to the trace of the covariances, their squares to the sum of all squares."""
+    per = full_model(t).scores().groupBy("component").agg(F.var_samp("score").alias("v"))
+    return per.agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.sum(F.col("v") * F.col("v")), 4).alias("squares"))
+
+
+@query(
+    "pca_rebuilt",
+    "SELECT vec_id, (j - 1)::INT AS i2, round(embedding[j]::DOUBLE - m, 4) + 0 AS value FROM embeddings, (SELECT j, avg(embedding[j]::DOUBLE) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS j) GROUP BY 1)",
+)
+def pca_rebuilt(t):
+    """Scores times loadings give the centred array back."""
+    model = full_model(t)
+    both = model.scores().join(model.components(), "component")
+    out = both.groupBy(F.col("i1").alias("vec_id"), "i2").agg(F.sum(F.col("score") * F.col("loading")).alias("v"))
+    return out.select("vec_id", "i2", (F.round("v", 4) + 0).alias("value"))
+
+
 # ---- making and storing ----
 
 
