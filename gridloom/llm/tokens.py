@@ -25,7 +25,7 @@ RUNS = (b"  ", b"\n ", b"\t ", b"\x0b ", b"\x0c ", b"\r ")
 MARKS = b".,!?;:#$%&*|"
 #: Bytes of pieces remembered with their ids, about, twice: when the younger memory is full it becomes the older one, and
 #: pieces that are met again move back, so frequent pieces stay. What a piece takes besides itself and its ids: PIECE_BYTES.
-MOST_BYTES, PIECE_BYTES = 32_000_000, 260
+MOST_BYTES, PIECE_BYTES = 64_000_000, 260
 #: Longer pieces are encoded each time.
 LONG_PIECE = 48
 
@@ -70,17 +70,18 @@ class Encoder(dict):
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            parts = PIECE.findall(piece) if b"\n" in piece else ()
+        # what is put together from remembered pieces is not remembered itself
+        if b"\n" in piece:
+            parts = PIECE.findall(piece)
             if len(parts) > 1:  # a line break within
                 return b"".join([self[p] for p in parts])
-            word = piece.rstrip(MARKS)
-            if len(word) < len(piece) and word[-1:].isalpha():
-                ids = self[word] + self[piece[len(word) :]]
-            else:
-                name = self._one_word(piece)
-                ids = self.whole(piece.decode()) if name is None else array("I", [t.id for t in self.merge(name)]).tobytes()
+        word = piece.rstrip(MARKS)
+        if len(word) < len(piece) and word[-1:].isalpha():
+            return self[word] + self[piece[len(word) :]]
+        ids = self.older.get(piece)
+        if ids is None:
+            name = self._one_word(piece)
+            ids = self.whole(piece.decode()) if name is None else array("I", [t.id for t in self.merge(name)]).tobytes()
         if len(piece) <= LONG_PIECE:
             if self.held >= MOST_BYTES:
                 self.older = dict(self)
@@ -93,7 +94,9 @@ class Encoder(dict):
     def _one_word(self, piece: bytes) -> str | None:
         """The piece as the merging step sees it, if the steps before it would leave it as one word of letters."""
         word = piece if self.folds else piece.removeprefix(b" ")
-        if not word.isalpha():  # of ASCII
+        if word.isalpha():  # of ASCII
+            return word.decode() if len(word) == len(piece) else BYTE_NAMES[0x20] + word.decode()
+        else:
             text = word.decode()
             if not text.isalpha() or self.folds and not (text.lower() == text and is_normalized("NFC", text)):
                 return None
