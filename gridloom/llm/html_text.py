@@ -22,14 +22,18 @@ from pyspark.sql import functions as F
 from gridloom.llm.url_rules import host_path
 from gridloom.session import materialize
 
-#: A comment, an element whose content is no text, a declaration, or a tag with its attributes.
+#: A comment, the beginning of an element whose content is no text, a declaration, or a tag with its attributes; a tag that
+#: is not closed ends before the next one.
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|template|svg|noscript|iframe|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']*+(?:\"[^\"]*+\"|'[^']*+')?+)*?)>",
+    r"|<(script|style|title|textarea|template|svg|noscript|iframe|select|object)\b[^<>]*>"
+    r"|<[!?][^<>]*>"
+    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']*+(?:\"[^\"]*+\"|'[^']*+')?+)*?)>",
     re.S | re.I,
 )
+#: Content of these goes on to the page's end where it is not closed; other such elements end at once then, and where
+#: their tag closes itself.
+TO_THE_END = frozenset("script style title textarea".split())
 #: A whole attribute, so that neither the end of a longer name nor what a value quotes is taken for one.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -136,10 +140,22 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str | None]]:
         if raw and not stack[-1][2]:
             chunks.append(entities.unescape(raw))
 
-    for m in MARKUP.finditer(page):
+    never: set[str] = set()  # elements that are not closed any more
+
+    def after(tag: str, begin: int, closed: bool) -> int:
+        """Where the page goes on after an element whose content is no text."""
+        if tag not in TO_THE_END and (closed or tag in never):
+            return begin
+        end = None if tag in never else re.compile(rf"</{tag}\s*>", re.I).search(page, begin)
+        if end is None:
+            never.add(tag)
+            return len(page) if tag in TO_THE_END else begin
+        return end.end()
+
+    while m := MARKUP.search(page, at):
         if m.start() > at:
             text(page[at : m.start()])
-        at = m.end()
+        at = m.end() if m[1] is None else after(m[1].lower(), m.end(), m[0].endswith("/>"))
         tag = m[3]
         if tag is None:
             continue
