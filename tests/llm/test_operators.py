@@ -237,6 +237,10 @@ def test_pages(stored):
     ('<body><div class="col-side">one</div><div class="col-side">two</div><div class="col-side">six</div></body>', "one two six"),
     ('<body><p>Kept te<b class="ad">buy</b>xt of the page</p></body>', "Kept text of the page"),
     ('<body><span class="ad">buy <b>now</b></span><p>Kept text of the page</p></body>', "Kept text of the page"),
+    ("<article><p>One two</p><svg width=1 /><p>Three four five</p></article>", "One two Three four five"),
+    ("<article><p>One two</p><iframe src='x'><p>Three</p><object data=y><p>four</p><select><option>five</article>", "One two Three four five"),
+    ("<article><svg><text>no</text></svg>One<noscript>no</noscript> two<SELECT><option>no</select > three</article>", "One two three"),
+    ("<article>One two<script>no <b> no", "One two"),
 ])
 def test_word_marks_never_drop_the_article(page, want):
     parsed = html_text.parse(page)
@@ -264,6 +268,59 @@ def test_mined_url_rules(stored):
     assert all(v == ("block" if i % 6 == 3 else "allow") for i, v in got.items())
 
 
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    begin = time.process_time()
+    for part in ("<a ", "<svg>", "<div class='x' ", '<p title="', "<iframe src=x>", "<!-- ", "<select/>"):
+        html_text.parse("<body><article>Some text " + part * 20_000)
+    assert time.process_time() - begin < 20
+
+
+def test_url_rules_of_long_repeated_urls_and_query_strings(stored):
+    long = "http://h.example/" + "/".join(f"part{k}" for k in range(30))
+    urls = [(k, long) for k in range(12)] + [(100 + k, f"http://s{k % 7}.example/p{k}?page={k % 3}&utm=spam#x") for k in range(40)]
+    urls += [(200 + k, f"http://s{k % 7}.example/p{k}?page={k % 3}") for k in range(40)]
+    pages = stored([(*u, "r", "q") for u in urls], "page_id long, url string, rule string, query string")
+    labels = stored([(k, k < 200) for k, _ in urls], "id long, blocked boolean")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels, ()).collect()}
+    assert got == {k: "block" if k < 200 else "allow" for k, _ in urls}
+
+
+def test_url_rules_against_all_subsets(stored):
+    """Brute force over all sets of up to four tokens, of rows that meet no bound on common tokens."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(200):
+        tokens = sorted({f"t{x}" for x in rng.integers(0, 6, rng.integers(1, 5))})
+        rows.append((tokens, bool(("t1" in tokens and "t2" in tokens) or rng.random() < 0.1)))
+    found = url_rules.mine(stored(rows, "tokens array<string>, blocked boolean"), min_count=8, min_confidence=0.8, common_share=1.0)
+    rules = {}
+    for size in range(1, 7):
+        for items in combinations(sorted({t for ts, _ in rows for t in ts}), size):
+            hit = [b for ts, b in rows if set(items) <= set(ts)]
+            if sum(hit) >= 8 and sum(hit) / len(hit) >= 0.8:
+                rules[items] = sum(hit) / len(hit)
+    least = {r: c for r, c in rules.items() if not any(set(q) < set(r) and d >= c for q, d in rules.items())}
+    assert {tuple(r["items"]): r.confidence for r in found.collect()} == pytest.approx(least) and least
+
+
+def test_vectors_of_any_length(stored):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 16))
+    for factor in (1e20, 1e-20, 1e60):
+        rows = [(i, (v * factor).tolist()) for i, v in enumerate(x)]
+        hits = 0
+        for r in vectors.search(stored(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+            scores = (x * factor) @ (x[r.query_id] * factor)
+            scores[r.query_id] = -np.inf
+            assert r.score == pytest.approx(scores[r.vec_id], rel=1e-12)
+            hits += r.vec_id in np.argsort(-scores)[:20]
+        assert hits >= 0.9 * 15 * 20
+
+
 def test_vectors(stored, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 24)).astype(np.float32)
