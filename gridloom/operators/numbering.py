@@ -10,19 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import materialize, materialize_counted
-
-
-SMALL_ROWS = 100_000  # up to this many rows, counted first, one plain window does
+from gridloom.session import materialize
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
     """Add a 0-based position per ``keys`` in ``order``; the order columns must make rows unique."""
-    rows, n_rows = materialize_counted(df, "rows")
-    if n_rows <= SMALL_ROWS:
-        return rows.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id())
+    placed = materialize(df, "rows").repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id())
     placed = materialize(placed, "ranges")  # fixes which row sits in which slice
     sizes = placed.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     # one row per (keys, slice): at most as many per key as there are partitions
