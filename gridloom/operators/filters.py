@@ -91,26 +91,33 @@ def compare(col: Column | str, op: str, value) -> Column:
     return _COMPARE[OPERATIONS.get(op, op)](left, F.lit(value))
 
 
+def query_words(query: str) -> list[tuple[str, bool]]:
+    """The words of a full-text query, in lower case, and whether each is a beginning."""
+    out = []
+    for part in query.replace(",", " ").split():
+        part = part.removeprefix("+")
+        prefix = part.startswith("prefix:")
+        part = part.removeprefix("prefix:")
+        out += [(word, prefix) for word in "".join(ch if ch.isalnum() else " " for ch in part.lower()).split()]
+    return out
+
+
 def has_words(col, query: str) -> Column:
     """All words of ``query`` occur in the text. ``+w`` marks a word, ``prefix:w`` a word beginning.
 
-    Words are runs of letters and digits, compared in lower case.
+    Words are runs of letters and digits, compared in lower case. The text is split once for all of them.
     """
-    tokens = words(col)
-    tests = []
-    for part in query.replace(",", " ").split():
-        prefix = False
-        part = part.removeprefix("+")
-        if part.startswith("prefix:"):
-            prefix, part = True, part.removeprefix("prefix:")
-        for word in "".join(ch if ch.isalnum() else " " for ch in part.lower()).split():
-            if prefix:
-                tests.append(F.exists(tokens, _begins(word)))
-            else:
-                tests.append(F.array_contains(tokens, word))
-    if not tests:
+    wanted = query_words(query)
+    if not wanted:
         return F.lit(False)
-    return functools.reduce(operator.and_, tests)
+    exact = [w for w, prefix in wanted if not prefix]
+    begun = [w for w, prefix in wanted if prefix]
+
+    def met(tokens: Column) -> Column:
+        tests = [F.array_contains(tokens, w) for w in exact] + [F.exists(tokens, _begins(w)) for w in begun]
+        return functools.reduce(operator.and_, tests)
+
+    return F.get(F.transform(F.array(words(col)), met), F.lit(0))
 
 
 def _begins(word: str):

@@ -121,3 +121,21 @@ def test_term_finder(ws):
     assert names(f.find_parent_id("ME:0000001")) == ["ME:0000002"]
     assert names(f.find_parent_path_id("DA:0000000")) == ["DA:0000001"]
     assert names(f.parents(f.find_id("ME:0000002"))) == ["ME:0000001"]
+
+
+def test_index_finds_what_a_scan_finds(spark):
+    import random
+
+    from gridloom.operators.filters import has_words
+    from gridloom.operators.fulltext import FullTextIndex
+
+    rng = random.Random(3)
+    texts = ["", None, "Ärger, über-all!", "x" * 50, "a.b-a"] + [" ".join(rng.choice(["ab", "abc", "Abd", "b1", "c,", "über"]) for _ in range(rng.randrange(6))) for _ in range(60)]
+    rows = spark.createDataFrame([(k, x, "t" + str(k % 3)) for k, x in enumerate(texts)] + [(None, "ab", "t0")], "id long, text string, tag string").repartition(4)
+    index = FullTextIndex.store(rows, "id", ["text", "tag"])
+    for query in ("ab", "+ab,+abc", "prefix:ab", "ab prefix:b", "ÜBER", "prefix:abc,b1,c", "none", "", "ab ab", "prefix:a,prefix:ab"):
+        want = sorted(r.id for r in rows.filter(has_words("text", query) & F.col("id").isNotNull()).collect())
+        assert sorted(r.id for r in index.rows(rows, "id", [("text", query)]).collect()) == want, query
+    assert {r.id for r in index.rows(rows, "id", [("text", "über"), ("tag", "t1")]).collect()} == {k for k, x in enumerate(texts) if k % 3 == 1 or "über" in (x or "")}
+    plan = index.search("text", "ab")._jdf.queryExecution().toString()
+    assert "EqualTo(token,ab)" in plan and "EqualTo(prop,text)" in plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import filters, ontology
+from gridloom.operators import filters, fulltext, ontology
 from gridloom.operators.filters import has_words
 from gridloom.plans.search import search
 from workloads.registry import query
@@ -69,6 +69,18 @@ def filter_fulltext(t):
     return filters.apply_conditions(etype.df, conditions, etype).select("doc_id", "source")
 
 
+@query(
+    "fulltext_index",
+    f"""SELECT doc_id, lang FROM documents
+        WHERE (list_contains({DOC_WORDS}, 'the') AND list_contains({DOC_WORDS}, 'by') AND len(list_filter({DOC_WORDS}, lambda w: starts_with(w, 'ther'))) > 0)
+           OR list_contains(regexp_split_to_array(lower(source), '[^\\p{{L}}\\p{{N}}]+'), 'src7')""",
+)
+def fulltext_index(t):
+    """Two searches by a stored index of whole texts and of sources."""
+    index = fulltext.FullTextIndex.store(t.documents, "doc_id", ["text", "source"])
+    return index.rows(t.documents, "doc_id", [("text", filters.prefix_pattern("the by ther")), ("source", "src7")]).select("doc_id", "lang")
+
+
 @query(
     "fulltext_pattern",
     f"""SELECT doc_id, lang FROM documents
