@@ -39,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy that the mix takes: whole copies, and of each source's last document its first words, joined by blanks."""
     labels = queries.doc_quality(table(spark, sf_dir, "labels")).groupBy("id").agg(F.max("good").alias("good"))
+    labels = materialize(labels, "labels")  # stored, so that its size is known: texts are dealt by id only where it is large
     docs = materialize(docs.select(*COLUMNS).join(labels, F.col("doc_id") == F.col("id"), "left").select(*COLUMNS, "good"), "weighed")
     mixed = mixing.mix(docs, n_words(F.col("text")), F.col("source"), F.col("doc_id"), queries.quality_weight(F.col("good")), queries.SOURCE_WEIGHTS)
     size, taken = F.col("mix_size"), F.col("mix_taken")
