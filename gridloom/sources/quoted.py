@@ -144,7 +144,7 @@ def records(spark: SparkSession, path, sep: str = "\t", quote: str = '"') -> Dat
     """file, at (where in the file it begins, as something to order by), record: every record of the files, as text. Of its
     line end a carriage return stays."""
     chunks = _chunks(spark, path, sep, quote)
-    cut = materialize(_cut(chunks.join(_inside(chunks), ["file", "split"]), sep, quote), "records")
+    cut = materialize(_cut(chunks.join(_inside(chunks), ["file", "split"], "left"), sep, quote), "records")
     here = F.struct("split", "chunk", "seq")
     # where the record of a piece begins: the last opening before it, in its split or else in the splits before
     opens = cut.where(F.col("part") == OPENS).select("file", "split", "chunk", here.alias("opening"))
@@ -169,7 +169,7 @@ def read_quoted(spark: SparkSession, path, columns: list[str] | None = None, sep
 
     A column that a file doesn't have is null there; by default the columns are those of all headers. Of equal names in a
     header the first counts. Values are read as by Spark's own reader: nothing between separators is null, two quotes are
-    an empty text, and in a file whose header ends with a carriage return and a line feed these two are one line feed.
+    an empty text; rows of one partition are in file order, and in a file whose header ends with a carriage return and a line feed these two are one line feed.
     Only the distinct headers come to the driver.
     """
     found = materialize(records(spark, path, sep, quote), "rows")
@@ -183,12 +183,14 @@ def read_quoted(spark: SparkSession, path, columns: list[str] | None = None, sep
         return spark.createDataFrame([], schema)
     places = [(header, [own.index(c) if c in own else -1 for c in columns]) for header, own in names.items()]
     heads = heads.join(spark.createDataFrame(places, "header string, places array<int>"), "header").drop("header")
+    heads = materialize(heads, "places")  # one row per file, of known size
     width = max(map(len, names.values()))
     row = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     record = F.rtrim(F.col("record"), F.lit("\r"))
     record = F.when(F.col("returns"), F.replace(record, F.lit("\r\n"), F.lit("\n"))).otherwise(record)
     parsed = F.from_csv(record, row.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": quote, "escape": quote})
-    rows = found.join(heads, "file").where(F.col("at") != F.col("head_at")).select("places", parsed.alias("r"))
+    rows = found.join(heads, "file", "left").where(F.col("at") != F.col("head_at"))
+    rows = rows.sortWithinPartitions("file", "at").select("places", parsed.alias("r"))
     values = F.array(*[F.col(f"r.c{i}") for i in range(width)])
     rows = rows.select("places", values.alias("v"))
     return rows.select(*[F.when(F.col("places")[k] >= 0, F.get("v", F.col("places")[k])).alias(c) for k, c in enumerate(columns)])

@@ -8,16 +8,16 @@ from gridloom.session import scratch_root
 from gridloom.sources import brick_files as bf
 from gridloom.sources import obo, tables, typedef
 
-SECTIONED = """name,Metals in wells
+SECTIONED = """name,Jars on shelves
 description,"First, second"
-type,Chemical Measurement <DA:0000005>
-meta,Well <ME:1>,W1
-values,Concentration <ME:2>,Molecule <ME:3>,Iron <CHEBI:1>,mg/L <UO:1>
+type,Jar count <JC:17>
+meta,Cellar <Q:1>,north
+values,Fill <Q:2>,Liquid <Q:3>,Juice <L:1>,cl <V:1>
 size,2,3
-dmeta,1,Sample <DA:1>,Sample Name <ME:4>
+dmeta,1,Shelf <Q:5>,Shelf label <Q:6>
 1,s1
 2,"s,2"
-dmeta,2,Day <DA:2>,Day Number <ME:5>
+dmeta,2,Week <Q:7>,Week label <Q:8>
 1,d1
 2,d2
 3,d3
@@ -37,13 +37,13 @@ def test_sectioned_csv_in_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     heads = {r["name"]: r for r in bf.sectioned_headers(lines).collect()}
-    assert heads["Metals in wells"]["description"] == "First, second"
-    assert heads["Metals in wells"]["type_term_id"] == "DA:0000005"
-    assert heads["Metals in wells"]["shape"] == [2, 3]
+    assert heads["Jars on shelves"]["description"] == "First, second"
+    assert heads["Jars on shelves"]["type_term_id"] == "JC:17"
+    assert heads["Jars on shelves"]["shape"] == [2, 3]
     assert heads["second"]["n_values_lines"] == 0
     dims = {(r["dim"], r["dim_type"], r["var_type"], r["idx"], r["value"]) for r in bf.sectioned_dims(lines).collect()}
-    assert dims == {(1, "Sample", "Sample Name", 0, "s1"), (1, "Sample", "Sample Name", 1, "s,2")} | {(2, "Day", "Day Number", k, f"d{k + 1}") for k in range(3)}
-    key = heads["Metals in wells"]["brick_key"]
+    assert dims == {(1, "Shelf", "Shelf label", 0, "s1"), (1, "Shelf", "Shelf label", 1, "s,2")} | {(2, "Week", "Week label", k, f"d{k + 1}") for k in range(3)}
+    key = heads["Jars on shelves"]["brick_key"]
     cells = {(tuple(r["idx"]), tuple(r["vals"])) for r in bf.sectioned_cells(lines).filter(F.col("brick_key") == key).collect()}
     assert cells == {((i - 1, j - 1), (str(i * 10 + j),)) for i in (1, 2) for j in (1, 2, 3)}
     other = bf.sectioned_cells(lines).filter(F.col("brick_key") == heads["second"]["brick_key"]).collect()
@@ -55,22 +55,22 @@ def test_array_document(spark, tmp_path):
         return {"oterm_ref": i, "oterm_name": n, "term_name": n}
 
     doc = {
-        "name": "wells.ndarray", "description": "d", "n_dimensions": 1, "data_type": term("DA:1", "Chemical"),
-        "array_context": [{"value_type": term("ME:9", "Data Variables Type"), "value": {"scalar_type": "oterm_ref", "oterm_ref": "ME:2", "string_value": "Concentration"}}],
-        "dim_context": [{"data_type": term("DA:2", "Sample"), "size": 2, "typed_values": [{"value_type": term("ME:3", "Name"), "values": {"scalar_type": "object_ref", "object_refs": ["a", "b"]}}]}],
+        "name": "shelf file", "description": "d", "n_dimensions": 1, "data_type": term("JC:2", "Jars"),
+        "array_context": [{"value_type": term("Q:9", "What is counted"), "value": {"scalar_type": "oterm_ref", "oterm_ref": "Q:2", "string_value": "Fill"}}],
+        "dim_context": [{"data_type": term("Q:5", "Shelf"), "size": 2, "typed_values": [{"value_type": term("Q:6", "Label"), "values": {"scalar_type": "object_ref", "object_refs": ["a", "b"]}}]}],
         "typed_values": [
-            {"value_type": term("ME:2", "Concentration"), "value_units": term("UO:1", "mg/L"), "values": {"scalar_type": "float", "float_values": [0.5, None]}},
-            {"value_type": term("ME:4", "Comment"), "values": {"scalar_type": "string", "string_values": ["x", "y"]}},
+            {"value_type": term("Q:2", "Fill"), "value_units": term("V:1", "cl"), "values": {"scalar_type": "float", "float_values": [0.5, None]}},
+            {"value_type": term("Q:10", "Remark"), "values": {"scalar_type": "string", "string_values": ["x", "y"]}},
         ],
     }
     path = tmp_path / "doc.json"
     path.write_text(json.dumps(doc, indent=1))
     docs = bf.scan_brick_json(spark, str(path))
     head = bf.brick_headers(docs).first()
-    assert (head["type_term_id"], head["shape"], head["attrs"]) == ("DA:1", [2], ["Data Variables Type=Concentration"])
+    assert (head["type_term_id"], head["shape"], head["attrs"]) == ("JC:2", [2], ["What is counted=Fill"])
     assert {(r["dim"], r["idx"], r["value"]) for r in bf.brick_dims(docs).collect()} == {(1, 0, "a"), (1, 1, "b")}
     cells = {(r["data_var"], tuple(r["idx"]), r["value"]) for r in bf.brick_cells(docs).collect()}
-    assert cells == {("Concentration", (0,), "0.5"), ("Concentration", (1,), None), ("Comment", (0,), "x"), ("Comment", (1,), "y")}
+    assert cells == {("Fill", (0,), "0.5"), ("Fill", (1,), None), ("Remark", (0,), "x"), ("Remark", (1,), "y")}
 
 
 def test_json_blocks_lose_nothing(spark):
@@ -86,7 +86,7 @@ def test_json_blocks_lose_nothing(spark):
 def test_obo_keeps_every_parent(spark, tmp_path):
     (tmp_path / "a.obo").write_text(
         'format-version: 1.2\n\n[Term]\nid: A:1\nname: one\ndef: "the first" []\n\n[Term]\nid: A:2\nname: two words\n'
-        'synonym: "deux" EXACT []\nsynonym: "zwei" EXACT []\nis_a: A:1 ! one\nis_a: B:9 ! other\nxref: Ref: X.Sample.name\nxref: ORef: A:1\n'
+        'synonym: "deux" EXACT []\nsynonym: "zwei" EXACT []\nis_a: A:1 ! one\nis_a: B:9 ! other\nxref: Ref: X.Shelf.label\nxref: ORef: A:1\n'
         'property_value: data_type "oterm_ref" xsd:string\nproperty_value: is_microtype "true" xsd:boolean\nproperty_value: valid_units "UO:1 UO:2" xsd:string\n'
         'property_value: note "a" xsd:string\nproperty_value: note "b" xsd:string\n\n[Typedef]\nid: rel\nname: rel\n'
     )
@@ -94,7 +94,7 @@ def test_obo_keeps_every_parent(spark, tmp_path):
     assert set(rows) == {"A:1", "A:2"}
     two = rows["A:2"]
     assert two["parents"] == ["A:1", "B:9"] and two["parent_first"] == "A:1"
-    assert two["synonyms"] == ["deux", "zwei"] and two["ref"] == "X.Sample.name" and two["oref"] == "A:1"
+    assert two["synonyms"] == ["deux", "zwei"] and two["ref"] == "X.Shelf.label" and two["oref"] == "A:1"
     assert two["scalar_type"] == "oterm_ref" and two["is_microtype"] and not two["is_hidden"]
     assert two["valid_units"] == ["UO:1", "UO:2"] and two["properties"]["note"] == "a;b"
     assert rows["A:1"]["definition"] == "the first" and rows["A:1"]["parents"] == []
@@ -104,14 +104,14 @@ def test_type_definitions(spark, tmp_path):
     doc = {
         "system_types": [],
         "static_types": [
-            {"name": "Gene", "fields": [{"name": "gene_id", "scalar_type": "text", "required": True, "UPK": True}, {"name": "length", "scalar_type": "int", "units_term": "UO:1"}]},
+            {"name": "Crate", "fields": [{"name": "crate_id", "scalar_type": "text", "required": True, "UPK": True}, {"name": "length", "scalar_type": "int", "units_term": "V:3"}]},
             {
-                "name": "Strain",
+                "name": "Harvest",
                 "fields": [
                     {"name": "id", "scalar_type": "text", "required": True, "PK": True},
-                    {"name": "derived_from", "scalar_type": "text", "FK": "Strain.name"},
-                    {"name": "genes_changed", "scalar_type": "[text]", "FK": "[Gene.gene_id]"},
-                    {"name": "Env Package", "scalar_type": "term", "type_term": "ME:1"},
+                    {"name": "follows", "scalar_type": "text", "FK": "Harvest.name"},
+                    {"name": "crates_filled", "scalar_type": "[text]", "FK": "[Crate.crate_id]"},
+                    {"name": "Orchard Kind", "scalar_type": "term", "type_term": "Q:11"},
                     {"name": "description", "scalar_type": "text"},
                 ],
             },
@@ -119,15 +119,15 @@ def test_type_definitions(spark, tmp_path):
     }
     path = tmp_path / "typedef.json"
     path.write_text(json.dumps(doc))
-    terms = spark.createDataFrame([("UO:1", "base pair"), ("ME:1", "package")], "term_id string, term_name string")
+    terms = spark.createDataFrame([("V:3", "hand width"), ("Q:11", "kind")], "term_id string, term_name string")
     cols = typedef.column_rows(typedef.scan_typedefs(spark, str(path)), terms)
-    strain = typedef.schema_of(cols, "Strain")
-    assert strain.names == ["sdt_strain_id", "derived_from_sdt_strain_name", "sdt_gene_names_changed", "env_package_sys_oterm_id", "env_package_sys_oterm_name", "sdt_strain_description"]
-    assert isinstance(strain["sdt_gene_names_changed"].dataType, T.ArrayType) and not strain["sdt_strain_id"].nullable
-    assert strain["env_package_sys_oterm_id"].metadata["fk"] == "sys_oterm.id"
-    assert typedef.schema_of(cols, "Gene").names == ["sdt_gene_id", "sdt_gene_name", "length_base_pair"]
+    harvest = typedef.schema_of(cols, "Harvest")
+    assert harvest.names == ["sdt_harvest_id", "follows_sdt_harvest_name", "sdt_crate_names_filled", "orchard_kind_sys_oterm_id", "orchard_kind_sys_oterm_name", "sdt_harvest_description"]
+    assert isinstance(harvest["sdt_crate_names_filled"].dataType, T.ArrayType) and not harvest["sdt_harvest_id"].nullable
+    assert harvest["orchard_kind_sys_oterm_id"].metadata["fk"] == "sys_oterm.id"
+    assert typedef.schema_of(cols, "Crate").names == ["sdt_crate_id", "sdt_crate_name", "length_hand_width"]
     rows = {r["cdm_column_name"]: r for r in typedef.build_typedef_table(cols, terms).collect()}
-    assert rows["length_base_pair"]["units_sys_oterm_name"] == "base pair" and rows["env_package_sys_oterm_id"]["type_sys_oterm_name"] == "package"
+    assert rows["length_hand_width"]["units_sys_oterm_name"] == "hand width" and rows["orchard_kind_sys_oterm_id"]["type_sys_oterm_name"] == "kind"
 
 
 def test_entity_tsv_with_breaks_and_quotes(spark, tmp_path):
@@ -136,8 +136,8 @@ def test_entity_tsv_with_breaks_and_quotes(spark, tmp_path):
 
 
 def test_process_tsv_with_a_trailing_tab_and_bare_quotes(spark, tmp_path):
-    (tmp_path / "p.tsv").write_text('process\tinputs\t\nsampling <P:1>\t"Sample: a, b", Well: c\t\n')
-    assert [tuple(r) for r in tables.scan_process_tsv(spark, str(tmp_path), ["process", "inputs"]).collect()] == [("sampling <P:1>", '"Sample: a, b", Well: c')]
+    (tmp_path / "p.tsv").write_text('process\tinputs\t\npicking <P:1>\t"Crate: a, b", Cellar: c\t\n')
+    assert [tuple(r) for r in tables.scan_process_tsv(spark, str(tmp_path), ["process", "inputs"]).collect()] == [("picking <P:1>", '"Crate: a, b", Cellar: c')]
 
 
 def test_conform_keeps_metadata_and_nulls_what_does_not_cast(spark):
@@ -149,9 +149,9 @@ def test_conform_keeps_metadata_and_nulls_what_does_not_cast(spark):
 
 def test_wide_file_attributes(spark, tmp_path):
     (tmp_path / "d.tsv").write_text("__dim1_var1\t__data_var1\na\t1\n")
-    (tmp_path / "a.tsv").write_text("__name\t__dim1_var1___type_term\t__dim1_var1___attr1\nx\tSample <ME:1>\tdepth [m]: 3\n")
+    (tmp_path / "a.tsv").write_text("__name\t__dim1_var1___type_term\t__dim1_var1___attr1\nx\tShelf <Q:5>\theight [m]: 3\n")
     _, attrs = tables.scan_wide_tsv_attrs(spark, str(tmp_path / "d.tsv"), str(tmp_path / "a.tsv"))
-    assert {tuple(r) for r in attrs.collect()} == {("array", "name", "x"), ("dim1_var1", "type_term", "Sample <ME:1>"), ("dim1_var1", "attr1", "depth [m]: 3")}
+    assert {tuple(r) for r in attrs.collect()} == {("array", "name", "x"), ("dim1_var1", "type_term", "Shelf <Q:5>"), ("dim1_var1", "attr1", "height [m]: 3")}
 
 
 def test_records_keep_nulls(spark):
