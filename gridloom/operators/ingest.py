@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import term_id_of, term_name_of
-from gridloom.operators.links import normalize_process_io
+from gridloom.operators.links import typed_refs
 
 
 def upsert_classify(incoming: DataFrame, stored: DataFrame, upk: str, valid: Column) -> DataFrame:
@@ -99,8 +99,8 @@ def load_processes(processes: DataFrame, list_col: str, keys: DataFrame, not_for
 
     ``keys(table, key, id)`` maps user keys.
     """
-    refs = normalize_process_io(processes, list_col, keys.select("table", "key"))
-    return refs.filter(~F.col("table").isin(not_for_provenance)).join(keys, ["table", "key"]).select("sys_process_id", "table", "id")
+    keys = keys.filter(~F.col("table").isin(not_for_provenance))
+    return typed_refs(processes, list_col, keys).join(keys, ["table", "key"]).select("sys_process_id", "table", "id")
 
 
 def index_entities(df: DataFrame, term_columns: list[str]) -> DataFrame:

@@ -1,6 +1,8 @@
+import re
+
 from pyspark.sql import functions as F
 
-from gridloom.operators import ingest, reports, validate
+from gridloom.operators import ingest, links, reports, validate
 from gridloom.operators.validate import Rule
 
 
@@ -93,3 +95,38 @@ def test_lab_rollup_skips_the_root_and_adds_parents(spark):
     terms = spark.createDataFrame([("root", "r", []), ("lab", "Lab", ["root"]), ("p1", "P1", ["lab"]), ("p2", "P2", ["lab"])], "term_id string, term_name string, parents array<string>")
     counts = spark.createDataFrame([("p1", 3), ("p2", 2), ("lab", 1)], "term_id string, n int")
     assert [(r["term_id"], r["n"]) for r in reports.lab_rollup(counts, terms, "root").collect()] == [("lab", 6), ("p1", 3), ("p2", 2)]
+
+
+REFS = [("p", 'Part: 1, Thing: 7, "Generic: 2", none, Part: 3'), ("q", "Thing: 8"), ("r", None), ("s", "Part: 1")]
+
+
+def exchanges(df):
+    """What the rows of each shuffle of the plan are dealt by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+
+
+def test_references_are_never_dealt_by_table_alone(spark):
+    rows = spark.createDataFrame(REFS, "id string, io string")
+    known = spark.createDataFrame([("sdt_part", "1"), ("ddt_ndarray", "2")], "table string, key string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        out = links.normalize_process_io(rows, "io", known)
+        assert exchanges(out) and set(exchanges(out)) == {"table, key"}
+        assert {tuple(r) for r in out.collect()} == {("p", "sdt_part", "1"), ("p", "ddt_ndarray", "2"), ("s", "sdt_part", "1")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_loaded_references_are_joined_by_key_once(spark):
+    rows = spark.createDataFrame(REFS, "id string, io string")
+    keys = spark.createDataFrame([("sdt_part", "1", "P1"), ("sdt_thing", "7", "T7")], "table string, key string, id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        out = ingest.load_processes(rows, "io", keys, ["sdt_thing"])
+        assert exchanges(out) == ["table, key", "table, key"]
+        assert {tuple(r) for r in out.collect()} == {("p", "sdt_part", "P1"), ("s", "sdt_part", "P1")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
