@@ -130,3 +130,19 @@ def test_loaded_references_are_joined_by_key_once(spark):
         assert {tuple(r) for r in out.collect()} == {("p", "sdt_part", "P1"), ("s", "sdt_part", "P1")}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_references_of_mapped_types_leave_their_list(spark):
+    rows = [("p", ["A: 1", "B: 2", "A: 1", None, "x"]), ("q", []), ("r", None), ("s", ["B: 3", "A: 9"])]
+    rows = spark.createDataFrame(rows, "id string, refs array<string>")
+    keys = spark.createDataFrame([("A: 1", "one"), ("A: 2", "two"), (None, "none"), ("C: 1", "c")], "ref string, other string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        out = links.key_rewrite(rows, "id", "refs", keys)
+        assert exchanges(out).count("ref") == 2 and "kind" not in exchanges(out)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [kind" in plan  # before the references are dealt
+        assert {r.id: r.refs for r in out.collect()} == {"p": ["one", "B: 2", "one", None, "x"], "q": [], "r": [], "s": ["B: 3", "A: 9"]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
