@@ -227,3 +227,25 @@ def test_processes_around_matches(spark, lineage):
     both = type_graph.processes_around(process, spark.createDataFrame([("P1",), ("P3",)], "id string"), e)
     assert {(r.id, r.mark) for r in both.collect()} == {("P1", "match"), ("P2", "above"), ("P3", "match")}
     assert type_graph.processes_around(process, process.filter("false").select("id"), e).count() == 0
+
+
+def test_a_direction_is_stored_when_a_walk_needs_it(spark, monkeypatch):
+    kept = []
+    stored_by = rc.materialize
+    monkeypatch.setattr(rc, "materialize", lambda df, label="t": kept.append(label) or stored_by(df, label))
+    table = rc.EdgeTable.store(edges(spark, ("a", "b"), ("b", "c")))
+    assert kept == []
+    assert found(rc.reach(start(spark, "a"), table)) == found(rc.reach(start(spark, "a"), table)) == {("b", 1), ("c", 2)}
+    assert kept == ["edges"]
+    assert found(rc.reach(start(spark, "c"), rc.reverse(table))) == {("b", 1), ("a", 2)}
+    assert found(rc.reach(start(spark, "b"), rc.reverse(rc.reverse(table)))) == {("c", 1)}
+    assert kept == ["edges", "edges"]
+
+
+def test_one_task_sorts_so_many_edges_at_most(spark, monkeypatch):
+    monkeypatch.setattr(rc, "RANGE_EDGES", 50)
+    pairs = spark.range(1000).select(F.lit("hub").alias("src"), F.format_string("v%04d", "id").alias("dst"))
+    table = rc.EdgeTable.store(pairs)
+    for stored in (table.forward, rc.reverse(table).forward):
+        sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == 1000 and len(sizes) >= 18 and max(sizes) <= 100
