@@ -132,57 +132,95 @@ def typedef_rows(cols: DataFrame) -> DataFrame:
     )
 
 
-def _expanded(value: Column) -> Column:
+CELLS_OF_TASK = 250_000  # fixed value: about so many cells are grouped by one task, whatever their number
+
+
+def _expanded(value: Column, typed: Column) -> Column:
     """The values of a variable's columns: of a term its id and name, of a reference its name, else the text."""
     name = term_name_of(value)
-    return F.when(F.col("typed") == "oref", F.array(term_id_of(value), name)).when(F.col("typed") == "ref", F.array(name)).otherwise(F.array(value))
+    return F.when(typed == "oref", F.array(term_id_of(value), name)).when(typed == "ref", F.array(name)).otherwise(F.array(value))
+
 
+def _arrays(lines: DataFrame, cols: DataFrame) -> DataFrame:
+    """One row per array with value columns: brick_key, n (dimensions in its data lines), merged, n_cells (as declared),
+    per_index (cells per index of each dimension that stays), places (column name to the variables behind it: index, part, typed).
+
+    Value columns of an array are few: they are columns of the wide table.
+    """
+    sizes = F.max(F.transform(_rest(1), lambda x: x.try_cast("int")))
+    shapes = lines.filter("is_head AND token = 'size'").groupBy("brick_key").agg(sizes.alias("size")).filter("size IS NOT NULL")
+    own = cols.filter("kind = 'variable'").groupBy("brick_key", "column_name").agg(F.array_sort(F.collect_list(F.struct("index", "part", "typed"))).alias("at"))
+    own = own.groupBy("brick_key").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "at"))).alias("places"))
+    stay = F.when(F.col("merged"), F.slice("size", F.lit(2), F.greatest(F.size("size") - 1, F.lit(0)))).otherwise(F.col("size"))
+    cells = F.aggregate("stay", F.lit(1.0), lambda n, x: n * F.greatest(x, F.lit(1)))
+    per_index = F.transform("stay", lambda x: cells / F.greatest(x, F.lit(1)))
+    out = shapes.join(_forms(lines), "brick_key").join(own, "brick_key").withColumn("stay", stay)
+    return out.select("brick_key", F.size("size").alias("n"), "merged", cells.alias("n_cells"), per_index.alias("per_index"), "places")
 
-def _of_columns(rows: DataFrame, cols: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
-    """(keep, column_name, value) of rows with a ``value`` of the variable that ``on`` names."""
-    own = cols.select("brick_key", *[c for c in on if c != "brick_key"], "typed", "part", "column_name")
-    return rows.join(own, on).select(*keep, "column_name", F.get(_expanded(F.col("value")), F.col("part")).alias("value"))
 
+def cell_rows(lines: DataFrame, arrays: DataFrame, names: list[str]) -> DataFrame:
+    """array_no, at (0-based index array over the dimensions that stay) and the value columns (text), one row per cell.
 
-def cell_values(lines: DataFrame, cols: DataFrame) -> DataFrame:
-    """brick_key, at (0-based index array over the dimensions that stay), column_name, value (text)."""
-    size = F.transform(_rest(1), lambda x: x.try_cast("int"))
-    shapes = lines.filter("is_head AND token = 'size'").groupBy("brick_key").agg(F.max(F.size(size)).alias("n"))
-    body = lines.filter("NOT is_head AND token = 'data'").join(shapes.join(_forms(lines), "brick_key"), "brick_key").filter(F.size("fields") > F.col("n"))
+    A line of data gives its values to their columns by itself; only the wide rows meet, and only by cell.
+    """
+    data = lines.filter("NOT is_head AND token = 'data'")
+    body = data.select("brick_key", "fields").join(arrays, "brick_key").filter(F.size("fields") > F.col("n"))
     index = F.transform(F.slice("fields", F.lit(1), F.col("n")), lambda x: x.try_cast("int") - 1)
-    rows = body.select("brick_key", "merged", index.alias("index"), F.slice("fields", F.col("n") + 1, F.size("fields")).alias("vals"))
+    rows = body.select("array_no", "merged", "places", index.alias("index"), F.slice("fields", F.col("n") + 1, F.size("fields")).alias("vals"))
     rows = rows.filter(~F.exists("index", lambda x: x.isNull()))
-    plain = rows.filter("NOT merged").select("brick_key", F.col("index").alias("at"), F.posexplode("vals").alias("k", "value"))
-    plain = plain.select("brick_key", "at", (F.col("k") + 1).alias("index"), "value")
-    first = rows.filter("merged").select("brick_key", F.slice("index", F.lit(2), F.size("index")).alias("at"), (F.col("index")[0] + 1).alias("index"), F.col("vals")[0].alias("value"))
-    return _of_columns(plain.unionByName(first), cols.filter("kind = 'variable'"), ["brick_key", "index"], ["brick_key", "at"])
+    at = F.when(F.col("merged"), F.slice("index", F.lit(2), F.size("index"))).otherwise(F.col("index"))
+
+    def here(place: Column) -> Column:  # has the line a value of this variable
+        return F.when(F.col("merged"), place["index"] == F.col("index")[0] + 1).otherwise(place["index"].between(1, F.size("vals")))
+
+    def value(place: Column) -> Column:
+        text = F.get("vals", F.when(F.col("merged"), 0).otherwise(place["index"] - 1))
+        return F.get(_expanded(text, place["typed"]), place["part"])
+
+    any_here = F.exists(F.flatten(F.map_values("places")), here)
+    rows = rows.filter(any_here).select(
+        "array_no", at.alias("at"),
+        *[F.get(F.filter(F.transform(F.filter(F.try_element_at("places", F.lit(c)), here), value), lambda x: x.isNotNull()), F.lit(0)).alias(c) for c in names],
+    )
+    rows = rows.repartition(-(-data.count() // CELLS_OF_TASK) or 1, "array_no", "at")
+    return rows.groupBy("array_no", "at").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
 
 
 def dimension_values(lines: DataFrame, cols: DataFrame) -> DataFrame:
-    """brick_key, dim, idx (0-based), column_name, value (text)."""
+    """array_no, dim, idx (0-based), column_name, value (text); ``cols`` with the numbers of their arrays."""
     own = cols.filter("kind = 'dimension_variable'").withColumn("section", F.col("place.section"))
     body = lines.filter("NOT is_head AND token = 'dmeta'").filter(_field(0).rlike("^[0-9]+$"))
-    body = body.select("brick_key", "section", (_field(0).try_cast("int") - 1).alias("idx"), F.coalesce(_field(1), F.lit("")).alias("value"))
-    rows = body.join(own.select("brick_key", "section", "dim").distinct(), ["brick_key", "section"])
-    return _of_columns(rows, own, ["brick_key", "section"], ["brick_key", "dim", "idx"])
+    rows = body.select("brick_key", "section", (_field(0).try_cast("int") - 1).alias("idx"), F.coalesce(_field(1), F.lit("")).alias("value"))
+    rows = rows.join(own.select("brick_key", "array_no", "section", "dim", "typed", "part", "column_name"), ["brick_key", "section"])
+    return rows.select("array_no", "dim", "idx", "column_name", F.get(_expanded(F.col("value"), F.col("typed")), F.col("part")).alias("value"))
 
 
 def wide(lines: DataFrame, cols: DataFrame) -> DataFrame:
     """One row per cell, of all arrays: brick_key, the columns of their dimensions, then those of their values.
 
-    Arrays of one kind share their columns; of a column that an array doesn't have the values are null.
+    Arrays of one kind share their columns; of a column that an array doesn't have the values are null. Cells are dealt to
+    as many tasks as their number needs; an index that many cells of its array share is dealt to several.
     """
     cols = materialize(cols, "columns")
     listed = cols.groupBy("kind", "dim", "column_name").agg(F.min(F.struct("place", "part")).alias("p")).orderBy("p").collect()  # column names
-    out = cell_values(lines, cols).groupBy("brick_key", "at")
-    out = out.pivot("column_name", [r.column_name for r in listed if r.kind == "variable"]).agg(F.first("value", ignorenulls=True))
-    values = dimension_values(lines, cols)
+    arrays = materialize(_arrays(lines, cols).withColumn("array_no", F.monotonically_increasing_id()), "arrays")
+    numbers = arrays.select("brick_key", "array_no", "n_cells", "per_index")
+    out = materialize(cell_rows(lines, arrays, [r.column_name for r in listed if r.kind == "variable"]), "cells")
+    tasks = -(-out.count() // CELLS_OF_TASK) or 1
+    values = dimension_values(lines, cols.join(numbers.select("brick_key", "array_no"), "brick_key"))
     names: list[str] = []
     for dim in sorted({r.dim for r in listed if r.kind == "dimension_variable"}):
         own = [r.column_name for r in listed if r.kind == "dimension_variable" and r.dim == dim]
-        named = values.filter(F.col("dim") == dim).groupBy("brick_key", "idx").pivot("column_name", own).agg(F.first("value", ignorenulls=True))
-        out = out.withColumn("idx", F.get("at", F.lit(dim - 1))).join(named, ["brick_key", "idx"], "left").drop("idx")
+        here = values.filter(F.col("dim") == dim).repartition(tasks, "array_no", "idx").groupBy("array_no", "idx")
+        named = here.agg(*[F.first(F.when(F.col("column_name") == c, F.col("value")), ignorenulls=True).alias(c) for c in own])
+        shares = F.greatest(F.ceil(F.coalesce(F.get("per_index", F.lit(dim - 1)), "n_cells") / CELLS_OF_TASK), F.lit(1)).cast("int")
+        split = numbers.select("array_no", shares.alias("_shares"))
+        named = named.join(split, "array_no").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+        out = out.join(split, "array_no").withColumn("idx", F.get("at", F.lit(dim - 1))).withColumn("_share", F.pmod(F.hash("at"), F.col("_shares"))).drop("_shares")
+        keys = ["array_no", "idx", "_share"]
+        out = out.repartition(tasks, *keys).join(named.repartition(tasks, *keys), keys, "left").drop("idx", "_share")
         names += own
+    out = out.join(numbers.select("array_no", "brick_key"), "array_no")
     return out.select("brick_key", *[n for n in dict.fromkeys(names)], *[r.column_name for r in listed if r.kind == "variable"])
 
 

@@ -86,3 +86,15 @@ def test_both_forms(spark, tmp_path):
     assert heads["Pump log"].dim_variables == [["Hour", "flow rate"], ["Pump name"]]
     assert heads["Two kinds"].shape == [3] and heads["Two kinds"].dim_names == ["Hour"] and heads["Two kinds"].value_names == ["flow rate"] * 2
     assert [(r.n, r.property_id, r.line) for r in sectioned.meta(lines).collect()] == [(1, "P:1", ["Site <P:1>", "north", "a, b"])]
+
+
+def test_wide_is_dealt_by_the_number_of_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sectioned, "CELLS_OF_TASK", 1)
+    lines, _, cols, _ = read(spark, tmp_path)
+    out = sectioned.wide(lines, cols)
+    columns = ["hour_area", "pump_name_sys_oterm_id", "flow_rate_rate_l_per_s", "sdt_person_name", "hour_label", "flow_rate_m", "flow_rate_m_2"]
+    assert sorted(map(tuple, out.select(columns).collect()), key=repr) == sorted([
+        ("h1", "X:1", "0.5", "ann", None, None, None), ("h1", None, "0.6", None, None, None, None), ('h "two"', None, "", "bob", None, None, None),
+        (None, None, None, None, "a", "10", "20"), (None, None, None, None, "c", "30", None),
+    ], key=repr)
+    assert "_share" in out._jdf.queryExecution().toString() and out.rdd.getNumPartitions() >= 5  # one task to a cell
