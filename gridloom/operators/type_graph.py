@@ -25,10 +25,8 @@ def process_type_edges(process_input: DataFrame, process_output: DataFrame, proc
 
     ``process`` has id, process_term_name and in_filter.
     """
-    ins = process_input.filter(~is_array("obj_type")).select("process_id", "obj_type").distinct()
-    outs = process_output.select("process_id", "obj_type").distinct()
-    from_types = ins.groupBy("process_id").agg(F.array_sort(F.collect_set("obj_type")).alias("from_types"))
-    to_types = outs.groupBy("process_id").agg(F.array_sort(F.collect_set("obj_type")).alias("to_types"))
+    from_types = process_input.filter(~is_array("obj_type")).groupBy("process_id").agg(F.array_sort(F.collect_set("obj_type")).alias("from_types"))
+    to_types = process_output.groupBy("process_id").agg(F.array_sort(F.collect_set("obj_type")).alias("to_types"))
     names = process.select(F.col("id").alias("process_id"), F.col("process_term_name").alias("name"), "in_filter")
     empty = F.array().cast("array<string>")
     return (
