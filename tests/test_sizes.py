@@ -39,3 +39,12 @@ def test_processes_of(spark, io):
     out = links.processes_of(io[0].select("obj"), io[0], process)
     assert rows(out, "obj", "id", "name") == [("A:1", "p1", "cut"), ("A:2", "p1", "cut"), ("A:2", "p2", "dry")]
     assert "6), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_linked_with_props(spark, io):
+    edges = spark.createDataFrame([("S1", "P1"), ("S2", "P1"), ("S3", "P2"), ("P1", "B1"), ("P2", "B1"), ("P2", "B2")], "src string, dst string")
+    start = spark.createDataFrame([("S1", "x", None), ("S2", "x", None), ("S3", "y", 1.5)], "v string, a string, b double")
+    out = links.linked_with_props(spark.createDataFrame([("B1",), ("B2",)], "v string"), "v", start, "v", ["a", "b"], edges)
+    assert rows(out, "v", "a", "b") == [("B1", "x", None), ("B1", "y", 1.5), ("B2", "y", 1.5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "to_json" not in plan
