@@ -7,6 +7,7 @@ import re
 import sys
 import zlib
 from array import array
+from codecs import charmap_decode
 from types import ModuleType
 from unicodedata import is_normalized
 
@@ -19,13 +20,13 @@ PIECE = re.compile(rb"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
 #: begin in UTF-8, for a quick look.
 OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-#: A blank after other white space: then a run can be longer than the blank that a split at blanks takes off.
-RUNS = (b"  ", b"\n ", b"\t ", b"\x0b ", b"\x0c ", b"\r ")
 #: Marks that both kinds of tokenizer cut off after a letter.
 MARKS = b".,!?;:#$%&*|"
 #: Bytes of pieces remembered with their ids, about, twice: when the younger memory is full it becomes the older one, and
 #: pieces that are met again move back, so frequent pieces stay. What a piece takes besides itself and its ids: PIECE_BYTES.
-MOST_BYTES, PIECE_BYTES = 64_000_000, 260
+MOST_BYTES, PIECE_BYTES = 32_000_000, 260
+#: Marks of pieces met once, by their hash: most pieces never come again, so only those that do are remembered.
+MET = 1 << 21
 #: Longer pieces are encoded each time.
 LONG_PIECE = 48
 
@@ -38,6 +39,42 @@ def _byte_names() -> dict[int, str]:
 
 
 BYTE_NAMES = _byte_names()
+CHARS = "".join(BYTE_NAMES[b] for b in range(256))
+
+
+def _cuts() -> bytes:
+    """Per byte, one bit for each of three kinds of place: whether it may come before it (bits 0 to 2), there (3 to 5) and
+    after it (6 and 7; before white space, anything may). The places: white space after something else, a mark after a
+    letter and before white space or a mark, a lone line break."""
+    white = b" \t\n\x0b\f\r"
+    out = bytearray()
+    for b in range(256):
+        blank, mark = b in white, b in MARKS
+        before = (not blank) | bytes([b]).isalpha() << 1 | (not blank) << 2
+        there = blank | mark << 1 | (b == 0x0A) << 2
+        out.append(before | there << 3 | (blank or mark) << 6 | (not blank) << 7)
+    return bytes(out)
+
+
+CUTS = _cuts()
+
+
+def cut(data: bytes) -> list[bytes]:
+    """The pieces of a text in UTF-8, with last marks cut off from a letter and a lone line break from what follows; they are
+    put apart by a byte that UTF-8 lacks."""
+    if len(data) < 2:
+        return [data] if data else []
+    kind = np.frombuffer((data + b" ").translate(CUTS), np.uint8)
+    places = kind[:-2] & kind[1:-1] >> 3 & (kind[2:] >> 5 | 1)
+    places[1:] |= places[:-1] >> 2 & 1  # after a lone line break
+    at = np.flatnonzero(places & 3) + 1
+    if not len(at):
+        return [data]
+    apart = np.full(len(data) + len(at), 0xFF, np.uint8)
+    own = np.ones(len(apart), bool)
+    own[at + np.arange(len(at))] = False
+    apart[own] = np.frombuffer(data, np.uint8)
+    return apart.tobytes().split(b"\xff")
 
 
 def place(name: str) -> str:
@@ -65,42 +102,46 @@ class Encoder(dict):
         self.folds = folds
         self.older: dict[bytes, bytes] = {}
         self.held = 0
+        self.met = bytearray(MET)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
-        # what is put together from remembered pieces is not remembered itself
-        if b"\n" in piece:
-            parts = PIECE.findall(piece)
-            if len(parts) > 1:  # a line break within
-                return b"".join([self[p] for p in parts])
-        word = piece.rstrip(MARKS)
-        if len(word) < len(piece) and word[-1:].isalpha():
-            return self[word] + self[piece[len(word) :]]
         ids = self.older.get(piece)
         if ids is None:
-            name = self._one_word(piece)
-            ids = self.whole(piece.decode()) if name is None else array("I", [t.id for t in self.merge(name)]).tobytes()
+            word = piece if self.folds or piece[0] != 0x20 else piece[1:]
+            if not word.isalpha():  # of ASCII
+                # what is put together from remembered pieces is not remembered itself
+                if b"\n" in piece:
+                    parts = PIECE.findall(piece)
+                    if len(parts) > 1:  # a line break within
+                        return b"".join([self[p] for p in parts])
+                bare = piece.rstrip(MARKS)
+                if len(bare) < len(piece) and bare[-1:].isalpha():
+                    return self[bare] + self[piece[len(bare) :]]
+            if word.isalpha() or self._is_word(word):
+                ids = array("I", [t.id for t in self.merge(charmap_decode(piece, "strict", CHARS)[0])]).tobytes()
+            else:
+                ids = self.whole(piece.decode())
+            place = hash(piece) % MET
+            if not self.met[place]:
+                self.met[place] = 1
+                return ids
         if len(piece) <= LONG_PIECE:
             if self.held >= MOST_BYTES:
                 self.older = dict(self)
                 self.clear()
                 self.held = 0
+                self.met = bytearray(MET)  # else in the end every piece would seem to be met again
             self.held += len(piece) + len(ids) + PIECE_BYTES
             self[piece] = ids
         return ids
 
-    def _one_word(self, piece: bytes) -> str | None:
-        """The piece as the merging step sees it, if the steps before it would leave it as one word of letters."""
-        word = piece if self.folds else piece.removeprefix(b" ")
-        if word.isalpha():  # of ASCII
-            return word.decode() if len(word) == len(piece) else BYTE_NAMES[0x20] + word.decode()
-        else:
-            text = word.decode()
-            if not text.isalpha() or self.folds and not (text.lower() == text and is_normalized("NFC", text)):
-                return None
-        return piece.decode("latin-1").translate(BYTE_NAMES)
+    def _is_word(self, word: bytes) -> bool:
+        """Whether the steps before the merging step would leave it as one word of letters."""
+        text = word.decode()
+        return text.isalpha() and (not self.folds or text.lower() == text and is_normalized("NFC", text))
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -109,19 +150,15 @@ class Encoder(dict):
             pieces = data.lower().split()  # bytes: only A-Z change
         elif any(w in data for w in WIDE) and OTHER_SPACE.search(text):
             return np.frombuffer(self.whole(text) + self.end, "<u4")
-        elif any(r in data for r in RUNS):
-            pieces = PIECE.findall(data)
         else:
-            first, blank, rest = data.partition(b" ")
-            pieces = PIECE.findall(first)
-            if blank:
-                pieces += [b" " + p for p in rest.split(b" ")]
+            pieces = cut(data)
         return np.frombuffer(b"".join([*map(self.__getitem__, pieces), self.end]), "<u4")
 
-
     def rest(self) -> None:
-        """At the end of a task: the worker may run other work next, so only the younger memory stays."""
+        """At the end of a task: the worker may run other work next, so only the marks of what was met stay."""
         self.older.clear()
+        self.clear()
+        self.held = 0
 
 
 def task_encoder(path: str, end: int, folds: bool) -> Encoder:

@@ -397,3 +397,20 @@ def test_pipeline(spark):
     ids = {r.doc_id: len(plain_ids("byte_bpe_50k.json", r.text)) for r in docs.select("doc_id", "text").collect()}
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {r.doc_id for r in rows} <= set(ids) and all(r.doc_tokens <= ids[r.doc_id] + 1 for r in rows)
+
+
+def test_pieces_and_their_memory():
+    path = tokens.place("byte_bpe_50k.json")
+    encoder = tokens.Encoder(path, 1, False)
+    assert tokens.cut(b"One word, two&&& <|endoftext|>.\nWas\n\nit a.b 1, ,") == [b"One", b" word", b",", b" two", b"&&&", b" <|endoftext|>.", b"\n", b"Was", b"\n\nit", b" a.b", b" 1,", b" ,"]
+    rnd, parts = np.random.default_rng(3), ["a", "B", "\u00e9", "7", " ", "  ", "\n", "\t", "\r", ".", ",", "|", "(", "'s", "<|endoftext|>", "\x85", "\u2009", "\u4e2d", "\x00", "\u2026"]
+    texts = ["".join(rnd.choice(parts, k)) for k in rnd.integers(0, 14, 4000)]
+    plain = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(encoder.encode(t).tolist() == [*x.ids, 1] for t, x in zip(texts, plain, strict=True))
+    encoder = tokens.Encoder(path, 1, False)
+    encoder.encode(" ".join(f"{'abcdefghij'[k // 100]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k % 10]}" for k in range(1000)))
+    assert len(encoder) < 20  # met once
+    encoder.encode("often " * 3)
+    assert b" often" in encoder
+    encoder.rest()
+    assert not encoder and not encoder.older and not encoder.held
