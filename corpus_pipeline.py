@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, ngram_join, packing, queries
 from gridloom.llm.common import n_words, table, words
+from gridloom.llm.marks import marked
 from gridloom.llm.tokens import place
-from gridloom.session import materialize, scratch_path
+from gridloom.session import arrow_rows, materialize, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a learned rule rejects go."""
-    judged = queries.judged(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).select(*COLUMNS, "q_kept")
-    # stored before the filter: pushed down, the filter would work out the statistics again, nested in each other
-    return materialize(judged, "judged").where("q_kept").select(*COLUMNS)
+    judged = queries.judged(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    # pushed down, the filter would work out the statistics again, nested in each other; no filter is pushed past a row number
+    kept = F.col("q_kept") & (F.monotonically_increasing_id() >= 0)
+    return judged.select(*COLUMNS, kept.alias("q_stays")).where("q_stays").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +33,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     # numbered and stored once: a number worked out again by another scan may be another document's
     docs = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("dup_row")), "numbered")
-    linked = ngram_join.link(docs, n=5, percent=80, row="dup_row").select("row", "component", "doc_id", "n_shingles")
-    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
-    return docs.join(first, F.col("dup_row") == F.col("first"), "left_semi").select(*COLUMNS)
+    with arrow_rows(spark, 1000):
+        linked = ngram_join.link(docs, n=5, percent=80, row="dup_row").select("row", "component", "doc_id", "n_shingles")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("dup_row"))
+    return marked(docs, "dup_row", first, dup_first=F.lit(True)).where("dup_first").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy that the mix takes: whole copies, and of each source's last document its first words, joined by blanks."""
     labels = queries.doc_quality(table(spark, sf_dir, "labels")).groupBy("id").agg(F.max("good").alias("good"))
-    labels = materialize(labels, "labels")  # stored, so that its size is known: texts are dealt by id only where it is large
-    docs = materialize(docs.select(*COLUMNS).join(labels, F.col("doc_id") == F.col("id"), "left").select(*COLUMNS, "good"), "weighed")
-    mixed = mixing.mix(docs, n_words(F.col("text")), F.col("source"), F.col("doc_id"), queries.quality_weight(F.col("good")), queries.SOURCE_WEIGHTS)
+    # labels meet ids and row numbers; the texts stay where they are
+    docs = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("label_row")), "numbered")
+    labelled = docs.select("label_row", "doc_id").join(labels, F.col("doc_id") == F.col("id")).select("label_row", "good")
+    docs = marked(docs, "label_row", labelled, is_good=F.col("good") == 1, is_bad=F.col("good") == 0)
+    good = F.when(F.col("is_good"), 1).when(F.col("is_bad"), 0)
+    mixed = mixing.mix(docs, n_words(F.col("text")), F.col("source"), F.col("doc_id"), queries.quality_weight(good), queries.SOURCE_WEIGHTS)
     size, taken = F.col("mix_size"), F.col("mix_taken")
     copies = F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))
     rows = mixed.where(taken > 0).withColumn("mix_copy", F.explode(copies))

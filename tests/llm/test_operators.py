@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import html_text, licences, lm, mixing, ngram_join, packing, quality_rules, token_files, tokens, url_rules, vectors
 from gridloom.llm.common import n_words
+from gridloom.llm.marks import marked
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -399,6 +400,39 @@ def test_pipeline(spark):
     assert rows and {r.doc_id for r in rows} <= set(ids) and all(r.doc_tokens <= ids[r.doc_id] + 1 for r in rows)
 
 
+def test_marks(spark, stored):
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, (1 << 33) - 1, 1 << 33, (3 << 33) + 70001]
+    table = stored([(n, f"t{n}") for n in numbers], "n long, text string")
+    rows = stored([(n, n % 3 if n != 8 else None) for n in [*numbers[:-1], 99, 1 << 40]], "n long, v long")
+    got = marked(table, "n", rows, one=F.col("v") == 1, two=F.col("v") == 2, there=F.lit(True))
+    assert got.columns == ["n", "text", "one", "two", "there"]
+    want = {(n, f"t{n}", n != 8 and n % 3 == 1 and n != numbers[-1], n != 8 and n % 3 == 2 and n != numbers[-1], n != numbers[-1]) for n in numbers}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(numbers)
+    assert marked(table, "n", rows.limit(0), one=F.col("v") == 1).where("one").count() == 0
+
+
+def test_pipeline_joins_no_texts(spark, monkeypatch):
+    """Texts are stored as they come, once in each of the two middle stages; what is dealt by id or row number has no texts."""
+    import corpus_pipeline
+
+    plans, store = [], corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, label: plans.append(df) or store(df, label))
+    sf, threshold = "/root/testdata/sf0.01", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 8000)  # bitmaps fit, tables of a row per document don't
+    try:
+        docs, batch = spark.read.parquet(f"{sf}/documents.parquet"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        corpus_pipeline.quality(spark, docs, sf)
+        assert not plans
+        kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+        mixed = corpus_pipeline.mix_sources(spark, docs, sf)
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    assert [("text" in df.columns, "Join" in df._jdf.queryExecution().optimizedPlan().toString()) for df in plans] == [(True, False)] * 2
+
+
 def test_pieces_and_their_memory():
     path = tokens.place("byte_bpe_50k.json")
     encoder = tokens.Encoder(path, 1, False)
