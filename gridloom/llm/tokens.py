@@ -59,22 +59,25 @@ def _cuts() -> bytes:
 CUTS = _cuts()
 
 
-def cut(data: bytes) -> list[bytes]:
-    """The pieces of a text in UTF-8, with last marks cut off from a letter and a lone line break from what follows; they are
-    put apart by a byte that UTF-8 lacks."""
-    if len(data) < 2:
-        return [data] if data else []
+def parted(data: bytes, kinds: int, by: int) -> bytes:
+    """A text in UTF-8 with the byte ``by`` put in at the places of some kinds, and after lone line breaks if they are among them."""
     kind = np.frombuffer((data + b" ").translate(CUTS), np.uint8)
-    places = kind[:-2] & kind[1:-1] >> 3 & (kind[2:] >> 5 | 1)
-    places[1:] |= places[:-1] >> 2 & 1  # after a lone line break
+    places = kind[:-2] & kind[1:-1] >> 3 & (kind[2:] >> 5 | 1) & kinds
+    places[1:] |= places[:-1] >> 2 & 1
     at = np.flatnonzero(places & 3) + 1
     if not len(at):
-        return [data]
-    apart = np.full(len(data) + len(at), 0xFF, np.uint8)
+        return data
+    apart = np.full(len(data) + len(at), by, np.uint8)
     own = np.ones(len(apart), bool)
     own[at + np.arange(len(at))] = False
     apart[own] = np.frombuffer(data, np.uint8)
-    return apart.tobytes().split(b"\xff")
+    return apart.tobytes()
+
+
+def cut(data: bytes) -> list[bytes]:
+    """The pieces of a text in UTF-8, with last marks cut off from a letter and a lone line break from what follows; they are
+    put apart by a byte that UTF-8 lacks."""
+    return parted(data, 7, 0xFF).split(b"\xff") if data else []
 
 
 def place(name: str) -> str:
@@ -147,7 +150,7 @@ class Encoder(dict):
         text = text or ""
         data = text.encode()
         if self.folds:
-            pieces = data.lower().split()  # bytes: only A-Z change
+            pieces = parted(data.lower(), 2, 0x20).split()  # bytes: only A-Z change
         elif any(w in data for w in WIDE) and OTHER_SPACE.search(text):
             return np.frombuffer(self.whole(text) + self.end, "<u4")
         else:
